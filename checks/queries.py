@@ -14,7 +14,7 @@ from crawlframe.functions import headers, markup, urls
 from crawlframe.operators import fetchlog, frontier, graph, language, pages, robots
 from crawlframe.operators.archive import byte_batches
 from crawlframe.plans.crawl import crawl_round, next_sites
-from crawlframe.session import configure, stored, work_path
+from crawlframe.session import configure, spread, stored, work_path
 from crawlframe.sinks.writers import write_html_archive, write_uri_log
 from crawlframe.sources import readers
 from crawlframe.streaming import jobs
@@ -46,8 +46,16 @@ def page_table(spark, sf):
     return readers.read_pages(spark, f"{sf}/pages.parquet")
 
 
+def page_bodies(spark, sf):
+    return readers.read_pages(spark, f"{sf}/pages.parquet", use_all_cores=True)
+
+
+def documents(spark, sf):
+    return spread(table(spark, sf, "documents"))
+
+
 def page_links(spark, sf):
-    return pages.extract_links(page_table(spark, sf))
+    return pages.extract_links(page_bodies(spark, sf))
 
 
 def link_frontier(spark, sf):
@@ -215,7 +223,7 @@ def human_url(spark, sf):
     "' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g'))) "
     "AS text_digest FROM pages")
 def parse_pages(spark, sf):
-    parsed = pages.parse_pages(page_table(spark, sf))
+    parsed = pages.parse_pages(page_bodies(spark, sf))
     return parsed.select(
         "page_id", "title", "declared_lang", "ok", F.size("hrefs").cast("bigint").alias("anchors"),
         F.md5("text").alias("text_digest"))
@@ -225,7 +233,7 @@ def parse_pages(spark, sf):
 def decode_body(spark, sf):
     lang = markup.page_lang(F.col("html"))
     charset = F.when(lang == "de", F.lit("UTF-16LE")).when(lang == "fr", F.lit("UTF-16BE")).when(lang == "en", F.lit("UTF-8"))
-    raw = page_table(spark, sf).select(
+    raw = page_bodies(spark, sf).select(
         "page_id", charset.alias("charset"),
         F.when(lang == "de", F.encode("html", "UTF-16LE")).when(lang == "fr", F.encode("html", "UTF-16BE"))
         .otherwise(F.encode("html", "UTF-8")).alias("body"))
@@ -239,7 +247,7 @@ def extract_links(spark, sf):
 
 @query(sql("SELECT page_id, src_url, raw_href, dst_url, dst_site FROM links", "links"))
 def extract_links_parsed(spark, sf):
-    parsed = pages.parse_pages(page_table(spark, sf))
+    parsed = pages.parse_pages(page_bodies(spark, sf))
     return pages.parsed_links(parsed).filter("reject_reason IS NULL").drop("reject_reason")
 
 
@@ -287,13 +295,13 @@ def _script_sql() -> str:
 
 @query(_script_sql())
 def script_filter(spark, sf):
-    kept = language.script_filter(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = language.script_filter(documents(spark, sf).select("doc_id", "text"))
     return kept.select("doc_id", F.md5("text").alias("digest"), (F.col("scripts_removed") > 0).alias("changed"))
 
 
 @query(sql("SELECT lang, gram, weight FROM profiles", "profiles"))
 def train_lang_profiles(spark, sf):
-    return language.train_lang_profiles(table(spark, sf, "documents"))
+    return language.train_lang_profiles(documents(spark, sf))
 
 
 def _detect_sql() -> str:
@@ -310,7 +318,7 @@ def _detect_sql() -> str:
 
 @query(_detect_sql())
 def detect_language(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     profiles = stored(language.train_lang_profiles(docs), "profiles")
     return language.detect_language(docs.select("doc_id", "text"), profiles, LANGUAGES)
 
@@ -555,7 +563,7 @@ def launch_fetch_list(spark, sf):
     "link_frontier f LEFT JOIN weights w ON f.site = w.site GROUP BY f.site) ORDER BY pending - weight DESC, site LIMIT 25",
     "link_frontier", "weights"))
 def next_sites_(spark, sf):
-    chosen = next_sites(page_table(spark, sf), weights(spark, sf), no_sites(spark), CONFIG)
+    chosen = next_sites(page_bodies(spark, sf), weights(spark, sf), no_sites(spark), CONFIG)
     return chosen.select("site", "pending", "rank")
 
 
@@ -653,7 +661,7 @@ def stream_site_state(spark, sf):
 def crawl_round_(spark, sf):
     fetched = page_table(spark, sf).select(urls.site_key("url").alias("site"), urls.strip_fragment("url").alias("uri"))
     result = crawl_round(
-        page_table(spark, sf), markup.page_lang(F.col("html")), view(spark, sf, "robots_log_v"), fetched,
+        page_bodies(spark, sf), markup.page_lang(F.col("html")), view(spark, sf, "robots_log_v"), fetched,
         waiting(spark, sf), active(spark, sf), weights(spark, sf), CONFIG)
     return result.schedule.select("site", "uri", "rn", "wait_s")
 

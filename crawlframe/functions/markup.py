@@ -13,14 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed patterns: parts of a page that hold no links, and one anchor with its href.
-HIDDEN_MARKUP = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<textarea\b.*?</textarea\s*>|<title\b.*?</title\s*>"
-)
+# Fixed pattern: what hides markup, or else an anchor with its href as group 2. Hidden parts
+# left open reach to the end of the page.
 ANCHOR_HREF = (
-    r"(?i)<a(?:[\s/]+(?!href[\s=>/])[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*"
-    r"[\s/]+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+    r"|a(?:[\s/]+(?!href[\s=>/])[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*"
+    r"[\s/]+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))"
 )
 _META_CHARSET = re.compile(rb"(?is)<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_\-:]+)")
 _XML_CHARSET = re.compile(rb"(?is)^\s*<\?xml\b[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9_\-:]+)")
@@ -38,8 +37,7 @@ def unescape_basic(text: Column) -> Column:
 
 def href_values(html_: Column) -> Column:
     """Distinct href values of a page's anchors as an array."""
-    visible = F.regexp_replace(html_, HIDDEN_MARKUP, " ")
-    found = F.regexp_extract_all(visible, F.lit(ANCHOR_HREF), F.lit(1))
+    found = F.filter(F.regexp_extract_all(html_, F.lit(ANCHOR_HREF), F.lit(2)), lambda v: v != "")
     bare = F.transform(found, lambda v: unescape_basic(F.regexp_replace(v, r"^[\"']|[\"']$", "")))
     return F.array_distinct(bare)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -150,17 +151,19 @@ def _fault(place: Column, host: Column, port: Column) -> Column:
     )
 
 
-def resolved(base, hrefs: Column) -> Column:
-    """Array ``hrefs`` resolved against ``base`` and normalised.
+@cache
+def resolved(base: str, hrefs: str) -> Column:
+    """Array column ``hrefs`` resolved against column ``base`` and normalised.
 
     Elements are (raw_href, url, site, path, fault): the absolute URL with lower-case
     scheme and host, no default port, encoded path and query and no fragment. ``fault`` is
     null, ``no_host``, ``bad_port`` or ``bad_host``; a faulty href has no URL.
 
     Each step names its intermediate values in a struct, so nothing is computed twice and
-    the expression stays small; the base is read once, not once per href.
+    the expression stays small; the base is read once, not once per href. The expression
+    holds no data and is built once per pair of names.
     """
-    base = _col(base)
+    base, hrefs = F.col(base), F.col(hrefs)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
     parts = F.struct(
         scheme(base).alias("scheme"),

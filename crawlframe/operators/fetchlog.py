@@ -23,12 +23,12 @@ def status_route(status, location) -> Column:
 
 def redirect_target(redirects: DataFrame, base: str = "base", location: str = "location") -> DataFrame:
     """Add ``target`` and ``queue``: ``frontier`` for another authority, else ``site``."""
-    target = F.explode(urls.resolved(base, F.array(location)))
-    named = redirects.withColumn("_to", target).withColumn("target", F.col("_to.url"))
+    listed = redirects.withColumn("_hrefs", F.array(location))
+    named = listed.withColumn("_to", F.explode(urls.resolved(base, "_hrefs"))).withColumn("target", F.col("_to.url"))
     place = lambda url: F.regexp_replace(F.lower(urls.authority(url)), r":(?:80|443)?$", "")
     elsewhere = place(base) != place("target")
     queue = F.when(elsewhere, F.lit("frontier")).when(~elsewhere, F.lit("site"))
-    return named.withColumn("queue", queue).drop("_to")
+    return named.withColumn("queue", queue).drop("_to", "_hrefs")
 
 
 def viewed_paths(fetch_log: DataFrame) -> DataFrame:

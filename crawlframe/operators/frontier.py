@@ -16,8 +16,8 @@ def to_frontier(links: DataFrame) -> DataFrame:
 
 def seeds_to_frontier(seeds: DataFrame) -> DataFrame:
     """Seed lines (value) as frontier rows, each once; lines that are no address are left out."""
-    found = F.explode(urls.resolved(F.lit(""), F.array("value"))).alias("_seed")
-    return seeds.select(found).filter("_seed.url IS NOT NULL").select(
+    lines = seeds.select(F.lit("").alias("_base"), F.array("value").alias("_hrefs"))
+    return lines.select(F.explode(urls.resolved("_base", "_hrefs")).alias("_seed")).filter("_seed.url IS NOT NULL").select(
         F.col("_seed.site").alias("site"), F.col("_seed.url").alias("uri")
     ).distinct()
 

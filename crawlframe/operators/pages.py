@@ -54,7 +54,8 @@ def _judged(rows: DataFrame, keys: Sequence[str], url: str, hrefs: Column, suffi
     Hrefs are resolved inside their row and then set free, so a filter on the outcome is
     not pushed back into the resolving.
     """
-    links = rows.select(*keys, F.col(url).alias("src_url"), F.explode(urls.resolved(url, hrefs)).alias("_link"))
+    found = rows.select(*keys, F.col(url).alias("src_url"), hrefs.alias("_hrefs"))
+    links = found.select(*keys, "src_url", F.explode(urls.resolved("src_url", "_hrefs")).alias("_link"))
     reason = (
         F.when(~urls.href_scheme_filter("_link.raw_href"), F.lit("scheme"))
         .when(F.col("_link.fault").isNotNull(), F.col("_link.fault"))

@@ -187,9 +187,9 @@ def robots_cross_domain(robots_log: DataFrame) -> DataFrame:
     Input: (site, uri, status, location, body). Output: (site, robots_uri, body) with the
     body found at the redirect's target and the site that was redirected.
     """
-    target = F.explode(urls.resolved("uri", F.array("location")))
-    hops = robots_log.filter("status BETWEEN 300 AND 399 AND location IS NOT NULL").select(
-        "site", "uri", target.alias("_to")
+    moved = robots_log.filter("status BETWEEN 300 AND 399 AND location IS NOT NULL")
+    hops = moved.select("site", "uri", F.array("location").alias("_hrefs")).select(
+        "site", "uri", F.explode(urls.resolved("uri", "_hrefs")).alias("_to")
     ).select("site", "uri", F.col("_to.url").alias("robots_uri"))
     away = hops.filter(urls.authority("uri") != urls.authority("robots_uri")).select("site", "robots_uri")
     found = robots_log.filter("status = 200").select(F.col("uri").alias("robots_uri"), "body")

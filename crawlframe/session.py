@@ -16,6 +16,8 @@ def local_session(cpus: int | str = 8, app: str = "crawlframe", memory: str = "1
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites of single columns are not recorded: building large expressions is faster.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus if str(cpus).isdigit() else 8))
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
@@ -68,3 +70,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """Deal a source with fewer splits than cores out to all cores.
+
+    For a table in a few small files, whose rows are dear to work on; a large table has
+    splits enough and is left as it is. Pass nothing that shuffles: it would run here.
+    """
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source

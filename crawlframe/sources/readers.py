@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlframe.config import ARCHIVE_SEPARATOR
+from crawlframe.session import spread
 
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 FETCH_LOG_SCHEMA = "event_id bigint, ts timestamp, site string, uri string, status int, bytes bigint"
@@ -34,9 +35,13 @@ def load_seeds(
     return lines.select(F.trim("value").alias("value")).filter("value <> ''")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages; bodies are only read by jobs that use them."""
-    return spark.read.parquet(path)
+def read_pages(spark: SparkSession, path: str, use_all_cores: bool = False) -> DataFrame:
+    """Fetched pages; bodies are only read by jobs that use them.
+
+    ``use_all_cores`` is for jobs that read bodies of small tables, see ``spread``.
+    """
+    pages = spark.read.parquet(path)
+    return spread(pages) if use_all_cores else pages
 
 
 def with_fetch_time(log: DataFrame, ts: str = "ts") -> DataFrame:
