@@ -1,0 +1,117 @@
+import random
+
+from pyspark.sql import functions as F
+
+from crawlframe.operators import frontier
+from crawlframe.operators.ordered import split_rank
+
+
+def sites(spark, rows):
+    return spark.createDataFrame(rows, "site string, uri string")
+
+
+def weights(spark, rows=()):
+    return spark.createDataFrame(list(rows), "site string, weight bigint")
+
+
+def active(spark, names=()):
+    return spark.createDataFrame([(n,) for n in names], "site string")
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_admission(spark):
+    links = sites(spark, [("A/", "A/"), ("A/", "A/x"), ("A/", "A/x"), ("B/", "B/1"), ("B/", "B/2"), ("C/", "C/1")])
+    known = sites(spark, [("B/", "B/1"), ("C/", "C/1")])
+    heavy = weights(spark, [("A/", 100), ("B/", 99)])
+    assert rows(frontier.frontier_admit(links, known, active(spark, ["C/"]), heavy)) == [
+        ("A/", "A/x", "pending"), ("B/", "B/2", "pending"), ("C/", "C/1", "active"),
+    ]
+    assert rows(frontier.frontier_admit(links, known, active(spark), heavy, block_site=True)) == [
+        ("B/", "B/2", "pending")
+    ]
+
+
+def test_drop_viewed(spark):
+    candidates = sites(spark, [("A/", "http://a/x?1"), ("A/", "http://a/y"), ("A/", "http://a")])
+    seen = sites(spark, [("A/", "http://a/x?2"), ("A/", "http://a/"), ("B/", "http://a/y")])
+    assert rows(frontier.drop_viewed(candidates, seen)) == [("A/", "http://a/y")]
+    assert rows(frontier.drop_viewed(candidates, seen, key="uri")) == [("A/", "http://a"), ("A/", "http://a/x?1")]
+
+
+def fold_weight(events):
+    weight = 0
+    for _, kind in sorted(events):
+        weight = 100 if kind == "skipped" else weight + 20
+    return weight
+
+
+def test_weights_match_a_fold(spark):
+    rng = random.Random(1)
+    events = [(f"s{rng.choice('aaab')}", seq, rng.choice(["skipped"] + ["completed"] * 5)) for seq in range(300)]
+    events += [("only", 1, "completed"), ("never", 2, "skipped")]
+    df = spark.createDataFrame(events, "site string, seq bigint, kind string")
+    want = sorted((s, fold_weight([e[1:] for e in events if e[0] == s])) for s in {e[0] for e in events})
+    for piece in (4, 65536):
+        assert rows(frontier.site_weight(df, piece=piece)) == want
+
+
+def test_site_choice(spark):
+    waiting = sites(spark, [(f"s{i:03d}", f"u{j}") for i in range(300) for j in range(1 + i % 3)])
+    heavy = weights(spark, [("s002", 2)])
+    pick = lambda names, n: [r.site for r in frontier.select_sites(waiting, heavy, active(spark, names), n).orderBy("rank").collect()]
+    assert pick([], 3) == ["s005", "s008", "s011"]
+    assert pick(["x", "y"], 3) == ["s005"]
+    assert pick(["x", "y", "z"], 3) == [] and pick(["x", "y", "z", "q"], 3) == []
+    assert len(pick([], 1000)) == 100
+
+
+def test_fetch_list_and_rest(spark):
+    waiting = sites(spark, [("A/", "1"), ("A/", "1"), ("A/", "2"), ("B/", "3")])
+    chosen = frontier.select_sites(waiting, weights(spark), active(spark), 1)
+    assert rows(frontier.fetch_list(chosen, waiting)) == [("A/", "1"), ("A/", "2")]
+    assert rows(frontier.remaining_frontier(chosen, waiting)) == [("B/", "3")]
+
+
+def test_gauge_of_nothing(spark):
+    assert rows(frontier.crawl_gauge(active(spark), sites(spark, []))) == [(0, 0, 0)]
+
+
+def test_schedule_keeps_its_distance(spark):
+    urls_ = sites(spark, [("A/", f"A/{i}") for i in range(500)] + [("B/", f"B/{i}") for i in range(5)])
+    waits = spark.createDataFrame([("B/", 30.0)], "site string, wait_s double")
+    plan = frontier.politeness_schedule(urls_, waits).collect()
+    for site, count, step in (("A/", 500, 5000), ("B/", 5, 30000)):
+        mine = sorted((r.rn, r.offset_ms) for r in plan if r.site == site)
+        assert [rn for rn, _ in mine] == list(range(1, count + 1))
+        assert all(0 <= at - (rn - 1) * step < 200 for rn, at in mine)
+
+
+def test_split_rank_matches_a_window(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["hot"] * 5 + ["cold", None]), rng.randrange(40), i) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, v int, id int")
+    want = {}
+    for key in {d[0] for d in data}:
+        for n, d in enumerate(sorted((d for d in data if d[0] == key), key=lambda d: d[1:]), 1):
+            want[d[2]] = n
+    tens, ones = (F.col("v") / 10).cast("int"), F.col("v")
+    for splits in ([tens], [tens, ones]):
+        got = {r.id: r.rn for r in split_rank(df, ["k"], ["v", "id"], splits).collect()}
+        assert got == want
+    overall = {r.id: r.rn for r in split_rank(df, [], ["v", "id"], [tens, ones]).collect()}
+    assert overall == {d[2]: n for n, d in enumerate(sorted(data, key=lambda d: d[1:]), 1)}
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    urls_ = sites(spark, [(f"s{i % 7}", f"u{i}") for i in range(200)])
+    once = rows(frontier.politeness_schedule(urls_.repartition(1)))
+    assert once == rows(frontier.politeness_schedule(urls_.repartition(8)))
+
+
+def test_frontier_is_a_set(spark):
+    a, b = sites(spark, [("A/", "1"), ("A/", "1")]), sites(spark, [("A/", "1"), ("A/", "2")])
+    assert rows(frontier.merge_frontiers(a, b)) == [("A/", "1"), ("A/", "2")]
+    assert frontier.merge_seeds(a, b).count() == 4
