@@ -59,7 +59,7 @@ def page_links(spark, sf):
 
 
 def link_frontier(spark, sf):
-    return frontier.to_frontier(page_links(spark, sf))
+    return frontier.to_frontier(pages.link_sets(page_bodies(spark, sf)))
 
 
 def waiting(spark, sf):
@@ -274,6 +274,11 @@ def dedup_links(spark, sf):
     return pages.dedup_links(page_links(spark, sf))
 
 
+@query(sql("SELECT DISTINCT page_id, dst_url, dst_site FROM links", "links"))
+def link_sets(spark, sf):
+    return pages.link_sets(page_bodies(spark, sf))
+
+
 @query(sql(
     f"SELECT reject_reason, count(*) AS links FROM ({RESOLVED}) WHERE reject_reason IN "
     "('no_host', 'bad_port', 'bad_host') GROUP BY reject_reason", "hrefs_v"))

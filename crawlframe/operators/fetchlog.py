@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions import urls
-from crawlframe.operators.ordered import attach, split_rank
+from crawlframe.operators.ordered import by_key, split_rank
 
 
 def status_route(status, location) -> Column:
@@ -54,31 +54,27 @@ def retry_decision(attempts: DataFrame, max_failures: int = 3, piece: str = "hou
     ``piece`` of time, and the running count is carried from piece to piece.
     """
     order = ["ts", "event_id"]
-    cut = attempts.withColumn("_piece", F.date_trunc(piece, "ts")).withColumn(
-        "_ends", F.col("kind").isin("ok", "too_large").cast("bigint")
-    )
-    upto = Window.partitionBy("uri", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("kind").isin("ok", "too_large").cast("bigint")
+    cut = attempts.withColumns({**by_key(["uri"]), "_piece": F.date_trunc(piece, "ts"), "_ends": F.coalesce(ends, F.lit(0))})
+    upto = Window.partitionBy("_k0", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     runs = cut.withColumn("_run", F.sum("_ends").over(upto) - F.col("_ends"))
-    in_run = Window.partitionBy("uri", "_piece", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    in_run = Window.partitionBy("_k0", "_piece", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     counted = runs.withColumn("_failed", F.sum(1 - F.col("_ends")).over(in_run))
 
-    pieces = runs.groupBy("uri", "_piece").agg(
-        F.max(F.col("_run") + F.col("_ends")).alias("_last"), F.sum("_ends").alias("_ended")
+    # What each piece hands on: failures since its last end, or all of them if it has none.
+    last = F.when(F.col("_ends") == 1, F.lit(0)).otherwise(F.col("_failed"))
+    pieces = counted.groupBy("_k0", "_piece").agg(
+        F.max_by(last, F.struct(*order)).alias("_tail"), (F.sum("_ends") > 0).cast("int").alias("_ended")
     )
-    tails = (
-        runs.groupBy("uri", "_piece", "_run").agg(F.sum(1 - F.col("_ends")).alias("_tail"))
+    along = Window.partitionBy("_k0").orderBy("_piece")
+    chained = pieces.withColumn("_chain", F.sum("_ended").over(along))
+    open_ = F.sum("_tail").over(Window.partitionBy("_k0", "_chain").orderBy("_piece"))
+    carry = chained.withColumn("_open", open_).select(
+        "_k0", "_piece", F.coalesce(F.lag("_open").over(along), F.lit(0)).alias("_carry")
     )
-    open_tail = pieces.join(
-        tails.withColumnRenamed("_run", "_last"), ["uri", "_piece", "_last"], "left"
-    ).withColumn("_tail", F.coalesce("_tail", F.lit(0)))
-    along = Window.partitionBy("uri").orderBy("_piece")
-    chain = open_tail.withColumn("_chain", F.sum((F.col("_ended") > 0).cast("int")).over(along))
-    carry = chain.withColumn(
-        "_open", F.sum("_tail").over(Window.partitionBy("uri", "_chain").orderBy("_piece"))
-    ).select("uri", "_piece", F.coalesce(F.lag("_open").over(along), F.lit(0)).alias("_carry"))
-
-    whole = attach(counted, carry, ["uri", "_piece"]).withColumn(
-        "failures", F.col("_failed") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(F.lit(0))
+    whole = counted.join(carry, ["_k0", "_piece"], "left").withColumn(
+        "failures",
+        F.col("_failed") + F.when(F.col("_run") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0)),
     )
     decision = (
         F.when(F.col("kind") == "ok", F.lit("done"))
@@ -119,7 +115,7 @@ def stale_sites(
         F.min("_first").over(site).alias("_start"),
     )
     inside = Window.partitionBy("site", "_piece").orderBy("_at")
-    steps = attach(log.withColumn("_prev", F.lag("_at").over(inside)), spans, ["site", "_piece"]).select(
+    steps = log.withColumn("_prev", F.lag("_at").over(inside)).join(spans, ["site", "_piece"]).select(
         "site", "_start", F.coalesce("_prev", "_before").alias("from_us"), F.col("_at").alias("to_us")
     )
     ends = pieces.groupBy("site").agg(F.min("_first").alias("_start"), F.max("_last").alias("from_us")).select(

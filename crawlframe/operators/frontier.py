@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls
 from crawlframe.operators.ordered import split_rank
+from crawlframe.session import stored
 
 
 def to_frontier(links: DataFrame) -> DataFrame:
@@ -95,19 +96,24 @@ def frontier_admit(
     keys, so by default only a site's root URL can be refused; ``block_site`` refuses all
     URLs of the site. URLs of an active site go to it (``active``), others wait
     (``pending``) unless they wait already. Links are folded first: a URL that a third of
-    all pages link to reaches the joins once.
+    all pages link to reaches the joins once. Folding and joins share the key (site, uri),
+    so links are shuffled once.
     """
     fresh = links.select("site", "uri").distinct()
-    heavy = site_state.filter(F.col("weight") >= block_weight).select(
-        F.col("site").alias("site" if block_site else "uri")
-    )
-    allowed = fresh.join(heavy, "site" if block_site else "uri", "left_anti")
+    heavy = site_state.filter(F.col("weight") >= block_weight).select("site")
+    if block_site:
+        allowed = fresh.join(heavy, "site", "left_anti")
+    else:
+        allowed = fresh.join(heavy.withColumn("uri", F.col("site")), ["site", "uri"], "left_anti")
     running = active.select("site").distinct().withColumn("_running", F.lit(True))
-    placed = allowed.join(running, "site", "left").withColumn(
-        "dest", F.when(F.col("_running"), F.lit("active")).otherwise(F.lit("pending"))
+    placed = allowed.join(running, "site", "left").select(
+        "site", "uri", F.when(F.col("_running"), F.lit("active")).otherwise(F.lit("pending")).alias("dest")
     )
-    waiting = frontier.select("site", "uri").distinct().withColumn("dest", F.lit("pending"))
-    return placed.join(waiting, ["site", "uri", "dest"], "left_anti").select("site", "uri", "dest")
+    waiting = frontier.select("site", "uri")
+    known = (
+        (placed["site"] == waiting["site"]) & (placed["uri"] == waiting["uri"]) & (placed["dest"] == "pending")
+    )
+    return placed.join(waiting, known, "left_anti")
 
 
 def pending_by_site(frontier: DataFrame) -> DataFrame:
@@ -139,18 +145,18 @@ def select_sites(
     task and only those few rows are numbered.
     """
     pending = pending_by_site(frontier)
+    take = F.lit(concurrency) - active.select("site").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    if concurrency > 100:  # only then can the share of waiting sites be the lower bound
+        pending = stored(pending, "pending")
+        waiting = pending.agg(F.count(F.lit(1)).alias("n")).scalar()
+        take = F.least(take, F.greatest(F.lit(100), F.floor(waiting * 2 / 100) + 1))
+    weight = F.coalesce("weight", F.lit(0)).cast("bigint")
     scored = pending.join(site_state.select("site", "weight"), "site", "left").select(
-        "site", "pending", F.coalesce("weight", F.lit(0)).cast("bigint").alias("weight")
-    ).withColumn("score", F.col("pending") - F.col("weight"))
-    best = scored.orderBy(F.desc("score"), "site").limit(concurrency)
-    numbered = best.withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("score"), "site")).cast("bigint")
+        "site", "pending", weight.alias("weight"), (F.col("pending") - weight).alias("score")
     )
-    running = active.select("site").distinct().agg(F.count(F.lit(1)).alias("n"))
-    waiting = frontier.select("site").distinct().agg(F.count(F.lit(1)).alias("n"))
-    slots = F.lit(concurrency) - running.scalar()
-    border = F.greatest(F.lit(100), F.floor(waiting.scalar() * 2 / 100) + 1)
-    return numbered.filter(F.col("rank") <= F.least(slots, border))
+    best = scored.orderBy(F.desc("score"), "site").limit(concurrency)
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "site")).cast("bigint")
+    return best.withColumn("rank", place).filter(F.col("rank") <= take)
 
 
 def fetch_list(selected: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -181,15 +187,15 @@ def politeness_schedule(
     ``16 ** pieces`` parts.
     """
     digest = fetches.withColumn("_digest", F.md5(F.col("uri")))
+    wait = F.lit(default_wait_s)
     ranked = split_rank(
-        digest, ["site"], ["_digest", "uri"], [F.substring("_digest", 1, pieces)]
+        digest,
+        ["site"],
+        ["_digest", "uri"],
+        [F.substring("_digest", 1, pieces)],
+        per_key=None if waits is None else waits.select("site", "wait_s"),
     ).drop("_digest")
-    if waits is None:
-        ranked = ranked.withColumn("wait_s", F.lit(default_wait_s))
-    else:
-        ranked = ranked.join(waits.select("site", "wait_s"), "site", "left").withColumn(
-            "wait_s", F.coalesce("wait_s", F.lit(default_wait_s))
-        )
+    ranked = ranked.withColumn("wait_s", wait if waits is None else F.coalesce("wait_s", wait))
     step = F.round(F.greatest(F.lit(throttle_s), F.col("wait_s")) * 1000).cast("bigint")
     jitter = F.pmod(F.xxhash64("uri"), F.lit(jitter_ms)) if jitter_ms else F.lit(0).cast("bigint")
     return ranked.withColumn("offset_ms", (F.col("rn") - 1) * step + jitter)

@@ -126,7 +126,29 @@ def rejects_by_reason(links: DataFrame) -> DataFrame:
 
 def dedup_links(links: DataFrame, key: str = "page_id") -> DataFrame:
     """Each page's links as a set."""
-    return links.select(key, "dst_url", "dst_site").dropDuplicates([key, "dst_url"])
+    return links.select(key, "dst_url", "dst_site").distinct()
+
+
+def link_sets(
+    pages: DataFrame,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    suffixes: Sequence[str] = IGNORED_SUFFIXES,
+    gate: Column | None = None,
+) -> DataFrame:
+    """What ``dedup_links`` makes of ``extract_links``, folded inside each page's row: no shuffle."""
+    if gate is not None:
+        pages = pages.filter(gate)
+    found = pages.select(key, F.col(url).alias("src_url"), markup.href_values(F.col(html)).alias("_hrefs"))
+    wanted = F.filter(
+        urls.resolved("src_url", "_hrefs"),
+        lambda link: link["fault"].isNull()
+        & urls.href_scheme_filter(link["raw_href"])
+        & urls.suffix_filter(link["path"], suffixes),
+    )
+    pairs = F.transform(wanted, lambda link: F.struct(link["url"].alias("dst_url"), link["site"].alias("dst_site")))
+    return found.select(key, F.explode(F.array_distinct(pairs)).alias("_link")).select(key, "_link.*")
 
 
 def language_gate(lang, path, target: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from crawlframe.config import CrawlConfig
 from crawlframe.functions import urls
 from crawlframe.operators import frontier as fr
-from crawlframe.operators.pages import extract_links, language_gate
+from crawlframe.operators.pages import language_gate, link_sets
 from crawlframe.operators.robots import robots_allow, robots_outcome, rule_sets
 from crawlframe.session import stored
 
@@ -18,7 +18,7 @@ def next_sites(
     pages: DataFrame, site_state: DataFrame, active: DataFrame, config: CrawlConfig = CrawlConfig()
 ) -> DataFrame:
     """Which sites to crawl next, from the links on fetched pages."""
-    waiting = fr.to_frontier(extract_links(pages, suffixes=config.ignored_suffixes))
+    waiting = fr.to_frontier(link_sets(pages, suffixes=config.ignored_suffixes))
     return fr.select_sites(waiting, site_state, active, config.concurrency)
 
 
@@ -48,7 +48,7 @@ def crawl_round(
     is read three times and so written once to the shared folder.
     """
     gate = language_gate(lang, urls.path("url"), config.target_lang)
-    links = extract_links(pages, gate=gate, suffixes=config.ignored_suffixes)
+    links = link_sets(pages, gate=gate, suffixes=config.ignored_suffixes)
     outcome = robots_outcome(
         robots_log, config.agent, config.default_wait_s, config.reconnect_above_s, config.skip_above_s, config.max_hops
     )
