@@ -401,7 +401,8 @@ _FRESH = "(SELECT * FROM everything UNION SELECT site, site FROM everything) n"
     f"FROM {_FRESH} WHERE n.uri NOT IN (SELECT site FROM weights WHERE weight >= 100) AND (n.site IN (SELECT site "
     "FROM active) OR n.uri NOT IN (SELECT uri FROM waiting_v))", "everything", "active", "weights", "waiting_v"))
 def frontier_admit(spark, sf):
-    return frontier.frontier_admit(_fresh(spark, sf), waiting(spark, sf), active(spark, sf), weights(spark, sf))
+    return frontier.frontier_admit(
+        _fresh(spark, sf), waiting(spark, sf), active(spark, sf), stored(weights(spark, sf), "weights"))
 
 
 @query(sql(
@@ -410,7 +411,7 @@ def frontier_admit(spark, sf):
     "FROM active) OR n.uri NOT IN (SELECT uri FROM waiting_v))", "everything", "active", "weights", "waiting_v"))
 def frontier_admit_block_site(spark, sf):
     return frontier.frontier_admit(
-        _fresh(spark, sf), waiting(spark, sf), active(spark, sf), weights(spark, sf), block_site=True)
+        _fresh(spark, sf), waiting(spark, sf), active(spark, sf), stored(weights(spark, sf), "weights"), block_site=True)
 
 
 _WALK = (
@@ -667,7 +668,7 @@ def crawl_round_(spark, sf):
     fetched = page_table(spark, sf).select(urls.site_key("url").alias("site"), urls.strip_fragment("url").alias("uri"))
     result = crawl_round(
         page_bodies(spark, sf), markup.page_lang(F.col("html")), view(spark, sf, "robots_log_v"), fetched,
-        waiting(spark, sf), active(spark, sf), weights(spark, sf), CONFIG)
+        waiting(spark, sf), stored(active(spark, sf), "active"), stored(weights(spark, sf), "weights"), CONFIG)
     return result.schedule.select("site", "uri", "rn", "wait_s")
 
 

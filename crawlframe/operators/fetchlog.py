@@ -91,7 +91,7 @@ def stale_sites(
     idle_s: int = 600,
     first_check_s: int = 900,
     check_every_s: int = 300,
-    piece: str = "day",
+    piece: str = "hour",
 ) -> DataFrame:
     """Pauses of a site longer than ``idle_s``: (site, from_us, to_us, redriven_us).
 
@@ -134,7 +134,7 @@ def stale_sites(
     )
 
 
-def site_sessions(fetch_log: DataFrame, gap: str = "10 minutes", piece: str = "day") -> DataFrame:
+def site_sessions(fetch_log: DataFrame, gap: str = "10 minutes", piece: str = "hour") -> DataFrame:
     """Runs of activity per site, apart by more than ``gap``: (site, first_us, last_us, requests).
 
     Runs are found inside each ``piece`` of time first; only those runs are then joined

@@ -6,10 +6,13 @@ the order in which partitions are added up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCALE = 10_000
 # Weight of a gram a language never showed: a share of one in ten million.
@@ -56,16 +59,18 @@ def script_filter(
     )
 
 
-def grams(docs: DataFrame, keys: Sequence[str], text: str = "text", keep_empty: bool = False) -> DataFrame:
-    """Rows (keys, gram) of all runs of one to three characters of the whole text."""
-    chars = docs.select(*keys, F.split(text, "").alias("_one"))
-    tail = lambda name, start: F.slice(name, F.lit(start), F.greatest(F.size(name), F.lit(0)))
-    two = chars.withColumn("_two", F.zip_with("_one", tail("_one", 2), lambda a, b: F.concat(a, b)))
-    three = two.withColumn("_three", F.zip_with("_two", tail("_one", 3), lambda a, b: F.concat(a, b)))
-    every = F.concat("_one", "_two", "_three")
-    if keep_empty:
-        return three.select(*keys, F.explode_outer(every).alias("gram"))
-    return three.select(*keys, F.explode(every).alias("gram")).filter("gram IS NOT NULL AND gram <> ''")
+def grams(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Rows (keys, gram) of all runs of one to three characters of the whole text.
+
+    Runs of n characters are cut n times over, each time starting one character later. An
+    empty text has one null gram.
+    """
+    cuts = [
+        F.regexp_extract_all(F.substring(F.col(text), start, 2**31 - 1), F.lit("(?s)" + "." * size), F.lit(0))
+        for size in (1, 2, 3)
+        for start in range(1, size + 1)
+    ]
+    return docs.select(*keys, F.explode_outer(F.concat(*cuts)).alias("gram"))
 
 
 def train_lang_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -75,6 +80,7 @@ def train_lang_profiles(docs: DataFrame, lang: str = "lang", text: str = "text")
     """
     counts = (
         grams(docs.select(F.col(lang).alias("lang"), text), ["lang"], text)
+        .filter("gram IS NOT NULL")
         .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_size", F.length("gram"))
@@ -93,6 +99,63 @@ def wide_profiles(profiles: DataFrame, languages: Sequence[str]) -> DataFrame:
     return profiles.groupBy("gram").agg(*columns)
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def score_table(wide: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per gram size: sorted gram codes (21 bits a character) and their weights."""
+    codes = wide["gram"].map(lambda gram: int(sum(ord(c) << 21 * i for i, c in enumerate(gram))))
+    order = np.argsort(codes.to_numpy(dtype=np.int64), kind="stable")
+    sizes = wide["gram"].str.len().to_numpy()[order]
+    keys = codes.to_numpy(dtype=np.int64)[order]
+    weights = wide.drop(columns="gram").to_numpy(dtype=np.float64)[order]
+    return [(keys[sizes == n], weights[sizes == n]) for n in (1, 2, 3)]
+
+
+def score_texts(texts: Sequence[str], table: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int] | None]:
+    """Summed weights of the grams of each text, None where no gram is known."""
+    points = _code_points("".join(texts))
+    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
+    totals = np.zeros((len(texts), table[0][1].shape[1]))
+    known = np.zeros(len(texts))
+    codes = np.zeros(len(points), dtype=np.int64)
+    for size, (keys, weights) in enumerate(table, 1):
+        codes = codes[: len(points) - size + 1] + (points[size - 1 :] << 21 * (size - 1))
+        inside = left[: len(codes)] >= size
+        asked, whose = codes[inside], owner[: len(codes)][inside]
+        if not len(keys) or not len(asked):
+            continue
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[at] == asked
+        at, whose = at[hit], whose[hit]
+        known += np.bincount(whose, minlength=len(texts))
+        for column in range(totals.shape[1]):
+            # Whole numbers below 2**53: floating sums are exact.
+            totals[:, column] += np.bincount(whose, weights=weights[at, column], minlength=len(texts))
+    return [row.astype(np.int64).tolist() if n else None for row, n in zip(totals, known)]
+
+
+def _scorer(table):
+    """Arrow UDF of ``score_texts``; the table comes as a broadcast variable."""
+
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            texts = texts.fillna("").tolist()
+            found, begin, size = [], 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text)
+                if size >= 1_000_000 or end == len(texts):
+                    found += score_texts(texts[begin:end], table.value)
+                    begin, size = end, 0
+            yield pd.Series(found, dtype=object)
+
+    scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(scores, T.ArrayType(T.LongType()))
+
+
 def detect_language(
     docs: DataFrame,
     profiles: DataFrame,
@@ -105,21 +168,19 @@ def detect_language(
     """(key, lang, confidence) of each text; lang is null below ``min_confidence``.
 
     ``profiles`` should be a stored table. Up to ``broadcast_rows`` grams they are
-    broadcast, and scoring is one pass that shuffles a row per text; beyond, grams are
-    counted per text and joined by shuffle.
+    broadcast and texts are scored where they lie, in Arrow batches without a shuffle;
+    beyond, grams are counted per text and joined by shuffle. Both give the same numbers.
     """
     names = [f"w_{name}" for name in languages]
     wide = wide_profiles(profiles, languages)
-    small = profiles.select("gram").distinct().limit(broadcast_rows + 1).count() <= broadcast_rows
-    found = grams(docs, [key], text, keep_empty=True)
-    if small:
-        scored = found.join(F.broadcast(wide), "gram", "left")
-        sums = [F.sum(name).alias(name) for name in names]
+    if profiles.select("gram").distinct().limit(broadcast_rows + 1).count() <= broadcast_rows:
+        table = docs.sparkSession.sparkContext.broadcast(score_table(wide.toPandas()))
+        scored = docs.select(key, _scorer(table)(F.col(text)).alias("_scores"))
+        totals = scored.select(key, *[F.get("_scores", F.lit(i)).alias(n) for i, n in enumerate(names)])
     else:
-        counted = found.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
-        scored = counted.join(wide, "gram", "left")
+        counted = grams(docs, [key], text).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
         sums = [F.sum(F.col(name) * F.col("_n")).alias(name) for name in names]
-    totals = scored.groupBy(key).agg(*sums)
+        totals = counted.join(wide, "gram", "left").groupBy(key).agg(*sums)
     ranked = F.array_sort(
         F.array(*[F.struct((-F.col(n)).alias("cost"), F.lit(l).alias("lang")) for n, l in zip(names, languages)])
     )

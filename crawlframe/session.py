@@ -72,11 +72,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(source: DataFrame) -> DataFrame:
-    """Deal a source with fewer splits than cores out to all cores.
+def spread(source: DataFrame, most_splits: int = 32) -> DataFrame:
+    """Deal a source with few splits out to all cores.
 
-    For a table in a few small files, whose rows are dear to work on; a large table has
-    splits enough and is left as it is. Pass nothing that shuffles: it would run here.
+    For small tables in a few files whose rows are dear to work on. A table with
+    ``most_splits`` or more has work enough for its size and is not shuffled. Pass nothing
+    that shuffles already: it would run here.
     """
     cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores) if source.rdd.getNumPartitions() < cores else source
+    return source.repartition(cores) if source.rdd.getNumPartitions() < min(cores, most_splits) else source
