@@ -59,18 +59,28 @@ def script_filter(
     )
 
 
-def grams(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Rows (keys, gram) of all runs of one to three characters of the whole text.
+# Stands after the end of a text, so that every character starts a window of three.
+_END = "\uffff"
 
-    Runs of n characters are cut n times over, each time starting one character later. An
-    empty text has one null gram.
+
+def gram_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """(keys, gram, n): how often each run of one to three characters occurs in the whole texts.
+
+    Each character is listed once, with the two after it; windows are counted before the
+    shuffle, and only counted windows are taken apart into the grams they start with.
     """
-    cuts = [
-        F.regexp_extract_all(F.substring(F.col(text), start, 2**31 - 1), F.lit("(?s)" + "." * size), F.lit(0))
-        for size in (1, 2, 3)
-        for start in range(1, size + 1)
-    ]
-    return docs.select(*keys, F.explode_outer(F.concat(*cuts)).alias("gram"))
+    padded = F.concat(F.col(text), F.lit(_END * 2))
+    windows = F.concat(
+        *[F.regexp_extract_all(F.substring(padded, start, 2**31 - 1), F.lit("(?s)..."), F.lit(0)) for start in (1, 2, 3)]
+    )
+    counted = (
+        docs.select(*keys, F.explode(windows).alias("_window"))
+        .groupBy(*keys, "_window")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    starts = [F.substring("_window", 1, size) for size in (1, 2, 3)]
+    listed = F.filter(F.array(*starts), lambda gram: ~F.endswith(gram, F.lit(_END)))
+    return counted.select(*keys, F.explode(listed).alias("gram"), "_n").groupBy(*keys, "gram").agg(F.sum("_n").alias("n"))
 
 
 def train_lang_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -78,15 +88,10 @@ def train_lang_profiles(docs: DataFrame, lang: str = "lang", text: str = "text")
 
     Counting is partial before the shuffle, so what travels is the alphabet, not the text.
     """
-    counts = (
-        grams(docs.select(F.col(lang).alias("lang"), text), ["lang"], text)
-        .filter("gram IS NOT NULL")
-        .groupBy("lang", "gram")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_size", F.length("gram"))
-    )
-    totals = counts.groupBy("lang", "_size").agg(F.sum("_n").alias("_total"))
-    weight = F.round(F.ln(F.col("_n") / F.col("_total")) * SCALE).cast("bigint")
+    labelled = docs.select(F.col(lang).alias("lang"), text).filter("lang IS NOT NULL")
+    counts = gram_counts(labelled, ["lang"], text).withColumn("_size", F.length("gram"))
+    totals = counts.groupBy("lang", "_size").agg(F.sum("n").alias("_total"))
+    weight = F.round(F.ln(F.col("n") / F.col("_total")) * SCALE).cast("bigint")
     return counts.join(totals, ["lang", "_size"]).select("lang", "gram", weight.alias("weight"))
 
 
@@ -178,9 +183,9 @@ def detect_language(
         scored = docs.select(key, _scorer(table)(F.col(text)).alias("_scores"))
         totals = scored.select(key, *[F.get("_scores", F.lit(i)).alias(n) for i, n in enumerate(names)])
     else:
-        counted = grams(docs, [key], text).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
-        sums = [F.sum(F.col(name) * F.col("_n")).alias(name) for name in names]
-        totals = counted.join(wide, "gram", "left").groupBy(key).agg(*sums)
+        sums = [F.sum(F.col(name) * F.col("n")).alias(name) for name in names]
+        found = gram_counts(docs, [key], text).join(wide, "gram").groupBy(key).agg(*sums)
+        totals = docs.select(key).join(found, key, "left")
     ranked = F.array_sort(
         F.array(*[F.struct((-F.col(n)).alias("cost"), F.lit(l).alias("lang")) for n, l in zip(names, languages)])
     )
