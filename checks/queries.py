@@ -13,7 +13,7 @@ from crawlframe.config import CrawlConfig
 from crawlframe.functions import headers, markup, urls
 from crawlframe.operators import fetchlog, frontier, graph, language, pages, robots
 from crawlframe.operators.archive import byte_batches
-from crawlframe.plans.crawl import crawl_round, next_sites
+from crawlframe.plans import crawl
 from crawlframe.session import configure, spread, stored, work_path
 from crawlframe.sinks.writers import write_html_archive, write_uri_log
 from crawlframe.sources import readers
@@ -569,7 +569,7 @@ def launch_fetch_list(spark, sf):
     "link_frontier f LEFT JOIN weights w ON f.site = w.site GROUP BY f.site) ORDER BY pending - weight DESC, site LIMIT 25",
     "link_frontier", "weights"))
 def next_sites_(spark, sf):
-    chosen = next_sites(page_bodies(spark, sf), weights(spark, sf), no_sites(spark), CONFIG)
+    chosen = crawl.next_sites(page_bodies(spark, sf), weights(spark, sf), no_sites(spark), CONFIG)
     return chosen.select("site", "pending", "rank")
 
 
@@ -660,13 +660,29 @@ def stream_site_state(spark, sf):
 # A whole round
 
 
+@query(sql(
+    f"SELECT c.site, c.uri FROM permitted c WHERE NOT regexp_matches({path_of('c.uri')}, '{SUFFIX_PATTERN}') AND NOT "
+    f"EXISTS (SELECT 1 FROM {_HANDLED} WHERE h.site = c.site AND {path_of('h.uri')} = {path_of('c.uri')})",
+    "permitted", "page_lang"))
+def site_admission(spark, sf):
+    rules = robots.rule_sets(robots_docs(spark, sf), CONFIG.agent)
+    return crawl.site_admission(everything(spark, sf), rules, _handled(spark, sf), CONFIG)
+
+
+@query(sql(
+    "SELECT DISTINCT site, rtrim(site, '/') || location AS uri, 'site' AS queue FROM fetch_log_v WHERE status BETWEEN "
+    "300 AND 399 AND location IS NOT NULL", "fetch_log_v"))
+def redirect_links(spark, sf):
+    return crawl.redirect_links(view(spark, sf, "fetch_log_v"))
+
+
 @query(sql(
     "SELECT w.site, w.uri, CAST(row_number() OVER (PARTITION BY w.site ORDER BY md5(w.uri), w.uri) AS BIGINT) AS rn, "
     "coalesce(o.wait_s, 5.0) AS wait_s FROM r_waiting w LEFT JOIN outcome o ON w.site = o.site WHERE w.site IN "
     "(SELECT site FROM r_selected)", "r_waiting", "r_selected", "outcome"))
 def crawl_round_(spark, sf):
     fetched = page_table(spark, sf).select(urls.site_key("url").alias("site"), urls.strip_fragment("url").alias("uri"))
-    result = crawl_round(
+    result = crawl.crawl_round(
         page_bodies(spark, sf), markup.page_lang(F.col("html")), view(spark, sf, "robots_log_v"), fetched,
         waiting(spark, sf), stored(active(spark, sf), "active"), stored(weights(spark, sf), "weights"), CONFIG)
     return result.schedule.select("site", "uri", "rn", "wait_s")

@@ -56,15 +56,19 @@ def retry_decision(attempts: DataFrame, max_failures: int = 3, piece: str = "hou
     order = ["ts", "event_id"]
     ends = F.col("kind").isin("ok", "too_large").cast("bigint")
     cut = attempts.withColumns({**by_key(["uri"]), "_piece": F.date_trunc(piece, "ts"), "_ends": F.coalesce(ends, F.lit(0))})
-    upto = Window.partitionBy("_k0", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = cut.withColumn("_run", F.sum("_ends").over(upto) - F.col("_ends"))
-    in_run = Window.partitionBy("_k0", "_piece", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = runs.withColumn("_failed", F.sum(1 - F.col("_ends")).over(in_run))
+    # Failures so far never decrease, so their greatest value at an end is that at the last end.
+    here = Window.partitionBy("_k0", "_piece").orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = here.rowsBetween(Window.unboundedPreceding, -1)
+    at_end = F.when(F.col("_ends") == 1, F.col("_so_far"))
+    counted = cut.withColumn("_so_far", F.sum(1 - F.col("_ends")).over(upto)).withColumn(
+        "_at_end", F.max(at_end).over(ahead)
+    )
 
     # What each piece hands on: failures since its last end, or all of them if it has none.
-    last = F.when(F.col("_ends") == 1, F.lit(0)).otherwise(F.col("_failed"))
     pieces = counted.groupBy("_k0", "_piece").agg(
-        F.max_by(last, F.struct(*order)).alias("_tail"), (F.sum("_ends") > 0).cast("int").alias("_ended")
+        (F.max("_so_far") - F.coalesce(F.max(at_end), F.lit(0))).alias("_tail"),
+        F.max("_ends").alias("_ended"),
     )
     along = Window.partitionBy("_k0").orderBy("_piece")
     chained = pieces.withColumn("_chain", F.sum("_ended").over(along))
@@ -74,7 +78,7 @@ def retry_decision(attempts: DataFrame, max_failures: int = 3, piece: str = "hou
     )
     whole = counted.join(carry, ["_k0", "_piece"], "left").withColumn(
         "failures",
-        F.col("_failed") + F.when(F.col("_run") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0)),
+        F.col("_so_far") - F.coalesce("_at_end", -F.col("_carry"), F.lit(0)),
     )
     decision = (
         F.when(F.col("kind") == "ok", F.lit("done"))

@@ -125,10 +125,9 @@ def robots_decisions(links: DataFrame, sets: DataFrame) -> DataFrame:
     The join keeps one row per link, and a site with a third of all links is cut up by
     Spark's skew join, since its other side is a single row.
     """
-    rules = sets.select("site", "rules")
-    joined = links.join(rules, "site", "left")
     target = F.concat(urls.path("uri"), urls.query("uri"))
-    return joined.withColumn("allowed", allowed_by(F.col("rules"), target)).drop("rules")
+    joined = links.withColumn("_target", target).join(sets.select("site", "rules"), "site", "left")
+    return joined.withColumn("allowed", allowed_by(F.col("rules"), F.col("_target"))).drop("rules", "_target")
 
 
 def robots_allow(links: DataFrame, sets: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from crawlframe.config import CrawlConfig
 from crawlframe.functions import urls
 from crawlframe.operators import frontier as fr
+from crawlframe.operators.fetchlog import redirect_target, status_route
 from crawlframe.operators.pages import language_gate, link_sets
 from crawlframe.operators.robots import robots_allow, robots_outcome, rule_sets
 from crawlframe.session import stored
@@ -22,6 +24,25 @@ def next_sites(
     return fr.select_sites(waiting, site_state, active, config.concurrency)
 
 
+def site_admission(
+    candidates: DataFrame, rules: DataFrame, fetched: DataFrame, config: CrawlConfig = CrawlConfig()
+) -> DataFrame:
+    """A site's own test of (site, uri) rows: permitted by robots, not handled yet, suffix wanted."""
+    wanted = candidates.filter(urls.suffix_filter(urls.path("uri"), config.ignored_suffixes))
+    return fr.drop_viewed(robots_allow(wanted, rules), fetched)
+
+
+def redirect_links(fetch_log: DataFrame) -> DataFrame:
+    """Targets of the log's redirects (site, uri, queue), each once.
+
+    ``queue`` tells whether a target stays with the site that named it or goes to the
+    frontier.
+    """
+    moved = fetch_log.filter(status_route(F.col("status"), F.col("location")) == "redirect")
+    found = redirect_target(moved.select("uri", "location"), base="uri").filter("target IS NOT NULL")
+    return found.select(urls.site_key("target").alias("site"), F.col("target").alias("uri"), "queue").distinct()
+
+
 @dataclass(frozen=True)
 class Round:
     """What one round leaves behind."""
@@ -53,8 +74,7 @@ def crawl_round(
         robots_log, config.agent, config.default_wait_s, config.reconnect_above_s, config.skip_above_s, config.max_hops
     )
     rules = rule_sets(robots_log.filter("status = 200"), config.agent)
-    permitted = robots_allow(fr.to_frontier(links), rules)
-    fresh = fr.drop_viewed(permitted, fetched)
+    fresh = site_admission(fr.to_frontier(links), rules, fetched, config)
     admitted = stored(
         fr.frontier_admit(fresh, frontier, active, site_state, config.block_weight), "admitted"
     )
