@@ -54,6 +54,12 @@ def site_root(url) -> Column:
     return F.regexp_replace(F.regexp_replace(origin, r"//.*@", "//"), _OWN_PORT, _WITHOUT_PORT)
 
 
+def address(url) -> Column:
+    """Userinfo, host and port, the scheme's own port left out: what two sites differ by."""
+    login = F.regexp_extract(_col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*@)", 1)
+    return F.concat(login, F.regexp_replace(site_root(url), r"^[^:]*://", ""))
+
+
 def site_key(url) -> Column:
     """Scheme, host and port with path ``/``; null if the URL names no host."""
     return F.nullif(F.concat(site_root(url), F.lit("/")), F.lit("/"))

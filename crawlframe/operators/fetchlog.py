@@ -25,8 +25,7 @@ def redirect_target(redirects: DataFrame, base: str = "base", location: str = "l
     """Add ``target`` and ``queue``: ``frontier`` for another authority, else ``site``."""
     listed = redirects.withColumn("_hrefs", F.array(location))
     named = listed.withColumn("_to", F.explode(urls.resolved(base, "_hrefs"))).withColumn("target", F.col("_to.url"))
-    place = lambda url: F.regexp_replace(F.lower(urls.authority(url)), r":(?:80|443)?$", "")
-    elsewhere = place(base) != place("target")
+    elsewhere = urls.address(base) != urls.address("target")
     queue = F.when(elsewhere, F.lit("frontier")).when(~elsewhere, F.lit("site"))
     return named.withColumn("queue", queue).drop("_to", "_hrefs")
 

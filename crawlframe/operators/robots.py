@@ -190,6 +190,6 @@ def robots_cross_domain(robots_log: DataFrame) -> DataFrame:
     hops = moved.select("site", "uri", F.array("location").alias("_hrefs")).select(
         "site", "uri", F.explode(urls.resolved("uri", "_hrefs")).alias("_to")
     ).select("site", "uri", F.col("_to.url").alias("robots_uri"))
-    away = hops.filter(urls.authority("uri") != urls.authority("robots_uri")).select("site", "robots_uri")
+    away = hops.filter(urls.address("uri") != urls.address("robots_uri")).select("site", "robots_uri")
     found = robots_log.filter("status = 200").groupBy(F.col("uri").alias("robots_uri")).agg(F.min("body").alias("body"))
     return away.join(found, "robots_uri").select("site", "robots_uri", "body")

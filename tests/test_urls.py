@@ -87,6 +87,8 @@ def test_redirect_cases(spark):
             ("http://a.example.org/x", "http://b.example.org/"),
             ("http://a.example.org/x", "http://u@a.example.org/"),
             ("http://a.example.org/x", "data:x"),
+            ("http://A.example.org:80/x", "/y"),
+            ("http://a.example.org/x", "http://a.example.org:443/"),
         ],
         "base string, location string",
     )
@@ -97,6 +99,8 @@ def test_redirect_cases(spark):
         ("http://b.example.org/", "frontier"),
         ("http://u@a.example.org/", "frontier"),
         (None, None),
+        ("http://a.example.org/y", "site"),
+        ("http://a.example.org:443/", "frontier"),
     ]
 
 
