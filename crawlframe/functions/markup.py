@@ -186,3 +186,7 @@ def parse_markup(
     for markup, charset, kind in batches:
         rows = [read_page(*page) for page in zip(markup, charset, kind)]
         yield pd.DataFrame(rows, columns=PARSED_TYPE.names)
+
+
+# Keeps a filter on the result from being pushed below it, which would parse every page twice.
+parse_markup = parse_markup.asNondeterministic()

@@ -158,7 +158,8 @@ def _scorer(table):
             yield pd.Series(found, dtype=object)
 
     scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(scores, T.ArrayType(T.LongType()))
+    # As parse_markup: a filter on the language must not score every text twice.
+    return F.pandas_udf(scores, T.ArrayType(T.LongType())).asNondeterministic()
 
 
 def detect_language(

@@ -103,8 +103,8 @@ def all_links(
 def parsed_links(
     parsed: DataFrame, key: str = "page_id", url: str = "url", suffixes: Sequence[str] = IGNORED_SUFFIXES
 ) -> DataFrame:
-    """As ``all_links``, from the hrefs ``parse_pages`` found."""
-    return _judged(parsed.filter("ok"), [key], url, F.array_distinct("hrefs"), suffixes)
+    """As ``all_links``, from the hrefs ``parse_pages`` found; failed pages have none."""
+    return _judged(parsed, [key], url, F.array_distinct("hrefs"), suffixes)
 
 
 def extract_links(pages: DataFrame, **options) -> DataFrame:
