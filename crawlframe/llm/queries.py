@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import simhash
+from crawlframe.llm import repeats, simhash
 from crawlframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,20 @@ def query(oracle: str | None = None):
     return register
 
 
+@query()
+def op5_suffix_array_dedup(spark, sf_dir):
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    kept = F.octet_length("kept").cast("bigint")
+    size = kept + F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - kept).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
