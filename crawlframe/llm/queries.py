@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import repeats, simhash
+from crawlframe.llm import langid, repeats, simhash
 from crawlframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,14 @@ def op5_suffix_array_dedup(spark, sf_dir):
     )
 
 
+@query()
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = langid.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
