@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import langid, repeats, simhash
+from crawlframe.llm import langid, pieces, repeats, simhash
 from crawlframe.llm.common import table
 
+#: Where the public model file lies; a parameter of the operators.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,3 +54,16 @@ def op6_language_id(spark, sf_dir):
 def op8_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op9_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = pieces.decode(pieces.encode(docs, PIECES).drop("text"), PIECES)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("offsets", -1).cast("bigint").alias("bytes_covered"),
+    )
