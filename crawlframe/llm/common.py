@@ -49,3 +49,19 @@ def list_of(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Lis
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once per row."""
     return F.transform(F.array(value), body)[0]
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """``used`` and all other columns in one, ``_row``, where no name can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **used: Column) -> DataFrame:
+    """``columns`` in their order again, from ``used`` or else ``_row``."""
+    return rows.select(*[(used[c] if c in used else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` ready for output columns of these names: columns of the same name are replaced."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])

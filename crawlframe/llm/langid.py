@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import map_batches
+from crawlframe.llm.common import map_batches, without
 
 BINS = 1 << 13
 PER_LANG = 600
@@ -148,7 +148,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and (lang_pred, score, rejected)."""
+    """All columns of ``docs`` and (lang_pred, score, rejected), which replace columns of the same name."""
+    docs = without(docs, "lang_pred", "score", "rejected")
     names, at = [*docs.columns, "lang_pred", "score", "rejected"], docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

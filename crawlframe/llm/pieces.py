@@ -13,7 +13,8 @@ text is one unit), so no merge crosses such a place: units are encoded apart and
 kept. Units of any length are merged with a heap. The map is applied to the whole text.
 
 Nulls and repeats: a null or empty text has no pieces; repeated rows get equal results;
-other columns are passed through; an empty table gives an empty result.
+other columns are passed through, those named like an output column are replaced; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import list_of, map_batches
+from crawlframe.llm.common import list_of, map_batches, without
 
 META = "▁"
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
@@ -286,6 +287,7 @@ def model_bytes(path: str) -> bytes:
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, ``ids`` and ``offsets`` (one more than ids; source bytes)."""
+    docs = without(docs, "ids", "offsets")
     names, at = [*docs.columns, "ids", "offsets"], docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
@@ -303,6 +305,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of the ids."""
+    encoded = without(encoded, "decoded")
     names, at = [*encoded.columns, "decoded"], encoded.columns.index(ids_col)
     shared = encoded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import langid, pieces, repeats, simhash
+from crawlframe.llm import decontaminate, langid, pieces, repeats, simhash
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
@@ -28,6 +28,11 @@ def query(oracle: str | None = None):
     return register
 
 
+@query()
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op5_suffix_array_dedup(spark, sf_dir):
     rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))

@@ -23,7 +23,8 @@ such hashes). Texts are worked on in stretches, so their length is not bounded.
 
 Nulls and repeats: a null text is an empty one; texts shorter than a window have no
 windows; repeated rows repeat each other's windows and are removed whole if long enough. Rows are told apart
-by id and text, so repeated or null ids do no harm. Other columns are passed through.
+by id and text, so repeated or null ids do no harm. Other columns are passed through;
+those named like an output column are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import map_batches, raw
+from crawlframe.llm.common import map_batches, raw, without
 from crawlframe.session import stored
 
 GRAM = 64
@@ -166,6 +167,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All columns of ``docs``, and ``removed`` (spans of bytes) and ``kept`` (the bytes left)."""
     if length < 2 * GRAM or length > 1000:
         raise ValueError("windows of 128 to 1000 bytes")
+    docs = without(docs, "removed", "kept")
     id_type = docs.schema[id_col].dataType.simpleString()
     key = ["_id", "_text_hash"]
     slim = docs.select(
@@ -275,9 +277,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wide = single.where("_single").join(twice, window, "left_semi").select(*key, F.col("_start").alias("a"), (F.col("_start") + length).alias("b"))
 
     gone = whole.union(part).union(wide).groupBy(*key).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(id_col, text_col))
-    both = marked["_text_hash"].eqNullSafe(gone["_text_hash"]) & marked[id_col].eqNullSafe(gone["_id"])
-    joined = marked.join(gone, both, "left").select(*[marked[c] for c in docs.columns], marked[text_col].cast("binary").alias("_bytes"), "_spans")
+    both = F.xxhash64(docs[id_col], docs[text_col]).eqNullSafe(gone["_text_hash"]) & docs[id_col].eqNullSafe(gone["_id"])
+    body = docs[text_col].cast("binary").alias("_bytes")
+    joined = docs.join(gone, both, "left").select(*[docs[c] for c in docs.columns], body, gone["_spans"])
 
     names = [*docs.columns, "removed", "kept"]
 
