@@ -22,8 +22,11 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,12 @@ from crawlframe.llm.common import list_of, map_batches, without
 
 META = "▁"
 UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
-#: Units kept; all are dropped when it is full. Longer units are not kept.
-KEPT, KEPT_LENGTH = 200_000, 64
+#: Units kept in a generation (there are two), and their longest.
+KEPT, KEPT_LENGTH = 150_000, 64
+#: Units of more code points are merged with a heap.
+HEAP_FROM = 100
+#: The rank of pairs that do not merge.
+NONE = 1 << 40
 
 
 def fields(body: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -98,7 +105,7 @@ class Model:
     def __init__(self, body: bytes):
         self.pieces: list[str] = []
         self.kinds: list[int] = []
-        self.merge: dict[str, tuple[float, int]] = {}
+        scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         spec: dict[int, int | float | bytes] = {}
         trainer: dict[int, int | float | bytes] = {}
@@ -107,7 +114,7 @@ class Model:
                 piece = dict(fields(value))
                 text, score, kind = piece[1].decode(), piece.get(2, 0.0), piece.get(3, 1)
                 if kind in (1, USER, UNUSED):
-                    self.merge[text] = score, len(self.pieces)
+                    scores[text] = score
                 self.ids[text] = len(self.pieces)
                 self.pieces.append(text)
                 self.kinds.append(kind)
@@ -121,9 +128,15 @@ class Model:
         self.unknown = self.kinds.index(UNKNOWN)
         self.map = CharMap(spec.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(spec.get(n, 1)) for n in (3, 4, 5))
-        joined = any(re.search(f"[^{META}]{META}", p) for p in self.merge)
+        order = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {text: order[score] for text, score in scores.items()}
+        joined = any(re.search(f"[^{META}]{META}", p) for p in self.rank)
         self.unit = re.compile("(?s).+" if joined else f"{META}*[^{META}]+|{META}+")
-        self.seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.seen: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        # What a piece is in a text by itself, and whether it is not always that.
+        self.plain = [p.replace(META, " ") if k != BYTE else chr(int(p[3:5], 16)) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.tied = np.array([k in (CONTROL, UNKNOWN) or k == BYTE and t > "\x7f" for t, k in zip(self.plain, self.kinds, strict=True)])
 
     # Normalising
 
@@ -156,17 +169,31 @@ class Model:
     # Encoding
 
     def unit_pieces(self, unit: str) -> list[str]:
-        """The symbols of one unit after all merges."""
-        if unit in self.merge and len(unit) == 1:
-            return [unit]
+        """The symbols of one unit after all merges: best rank first, leftmost among equals."""
+        if len(unit) > HEAP_FROM:
+            return self.long_pieces(unit)
+        rank, text = self.rank.get, list(unit)
+        ranks = [rank(unit[i : i + 2], NONE) for i in range(len(unit) - 1)]
+        while ranks and (best := min(ranks)) < NONE:
+            i = ranks.index(best)
+            text[i] += text.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(text[i] + text[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank(text[i - 1] + text[i], NONE)
+        return text
+
+    def long_pieces(self, unit: str) -> list[str]:
+        """As ``unit_pieces``, with a heap: for long units."""
         text: list[str] = list(unit)
         n = len(text)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[float, int, str]] = []
+        heap: list[tuple[int, int, str]] = []
 
         def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (known := self.merge.get(text[a] + text[b])):
-                heapq.heappush(heap, (-known[0], a, text[a] + text[b]))
+            if a >= 0 and b >= 0 and (known := self.rank.get(text[a] + text[b], NONE)) < NONE:
+                heapq.heappush(heap, (known, a, text[a] + text[b]))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -183,12 +210,14 @@ class Model:
             offer(a, right[a])
         return [t for t in text if t]
 
-    def encode_unit(self, unit: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, code points of the unit up to the end of each piece)."""
-        if known := self.seen.get(unit):
-            return known
+    def encode_unit(self, unit: str) -> tuple[bytes, bytes]:
+        """(ids, code points of the unit up to the end of each piece), as 32-bit numbers."""
+        pieces, unknown = self.unit_pieces(unit), self.unknown
+        ids = [self.ids.get(p, unknown) for p in pieces]
+        if unknown not in ids or self.bytes is None:
+            return array("i", ids).tobytes(), array("i", accumulate(map(len, pieces))).tobytes()
         ids, ends, at = [], [], 0
-        for piece in self.unit_pieces(unit):
+        for piece in pieces:
             at += len(piece)
             found = self.ids.get(piece, self.unknown)
             if found != self.unknown or self.bytes is None:
@@ -198,12 +227,18 @@ class Model:
                 some = [self.bytes[b] for b in piece.encode()]
                 ids += some
                 ends += [at - len(piece)] * (len(some) - 1) + [at]
-        result = np.array(ids, np.int32), np.array(ends, np.int32)
-        if len(unit) <= KEPT_LENGTH:
-            if len(self.seen) >= KEPT:
-                self.seen.clear()
-            self.seen[unit] = result
-        return result
+        return np.array(ids, np.int32).tobytes(), np.array(ends, np.int32).tobytes()
+
+    def encode_missing(self, units: list[str], found: list[tuple[bytes, bytes] | None]) -> None:
+        """Fill the gaps of ``found``; units move on to the newer of two generations when met."""
+        for i, known in enumerate(found):
+            if known is None:
+                unit = units[i]
+                found[i] = known = self.seen.get(unit) or self.older.get(unit) or self.encode_unit(unit)
+                if len(unit) <= KEPT_LENGTH:
+                    if len(self.seen) >= KEPT:
+                        self.older, self.seen = self.seen, {}
+                    self.seen[unit] = known
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, source byte offsets): piece i covers bytes offsets[i] to offsets[i + 1].
@@ -214,16 +249,22 @@ class Model:
         units = self.unit.findall(normal)
         if not units:
             return np.zeros(0, np.int32), np.zeros(1, np.int32)
-        parts = [self.encode_unit(u) for u in units]
-        counts = np.fromiter(map(len, (p[0] for p in parts)), np.int64, len(parts))
+        parts = list(map(self.seen.get, units))
+        if None in parts:
+            self.encode_missing(units, parts)
+        ids, ends = map(b"".join, zip(*parts, strict=True))
+        counts = np.fromiter(map(len, map(itemgetter(0), parts)), np.int64, len(parts)) >> 2
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.concatenate([p[1] for p in parts]) + np.repeat(np.cumsum(sizes) - sizes, counts)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([places[:1], places[ends]])
+        ends = np.frombuffer(ends, np.int32) + np.repeat(np.cumsum(sizes) - sizes, counts)
+        return np.frombuffer(ids, np.int32), np.concatenate([places[:1], places[ends]])
 
     # Decoding
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; ill-formed bytes become replacement characters."""
+        if ids and not self.squeeze and not self.tied[ids].any():
+            text = "".join(map(self.plain.__getitem__, ids))
+            return text[1:] if self.prefix and self.pieces[ids[0]].startswith(META) else text
         out, waiting = [], bytearray()
         first = True
         for i in ids:
@@ -311,7 +352,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = loaded(shared.value)
-        texts = [model.decode(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column(at)]
+        texts = [model.decode(ids.values.to_numpy().tolist() if ids.is_valid else []) for ids in batch.column(at)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return map_batches(encoded, work, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
