@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlframe.llm.common import map_batches, raw, without
+from crawlframe.llm.common import list_of, map_batches, raw, without
 from crawlframe.session import stored
 
 GRAM = 64
@@ -182,23 +182,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counts = [len(p[0]) if p else 0 for p in parts]
         if not sum(counts):
             return None
-        owner = pa.array(np.repeat(np.arange(len(parts)), counts))
-        columns = [np.concatenate(x) for x in zip(*filter(None, parts), strict=True)]
+        owner = np.repeat(np.arange(len(parts)), counts)
+        anchor, first, last, gram, run = (np.concatenate(x) for x in zip(*filter(None, parts), strict=True))
+        # Equal runs of one text (a line said over and over) are one row with all their places.
+        order = np.lexsort((first, run, gram, owner))
+        same = [(x[order][1:] == x[order][:-1]) for x in (owner, gram, run)]
+        head = np.flatnonzero(np.concatenate([[True], ~(same[0] & same[1] & same[2])]))
+        one, times = order[head], np.diff(np.append(head, len(order)))
+        who = pa.array(owner[one])
+        columns = [pa.array(x[one]) for x in (anchor, first, last, gram, run)]
+        places = list_of(first[order], times, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(owner), batch.column(1).take(owner), *map(pa.array, columns)],
-            names=[*key, "_anchor", "_first", "_last", "_gram", "_run"],
+            [batch.column(0).take(who), batch.column(1).take(who), *columns, pa.array(times), places],
+            names=[*key, "_anchor", "_first", "_last", "_gram", "_run", "_times", "_places"],
         )
 
-    numbers = "_anchor bigint, _first bigint, _last bigint, _gram bigint, _run bigint"
+    numbers = "_anchor bigint, _first bigint, _last bigint, _gram bigint, _run bigint, _times bigint, _places array<bigint>"
     found = stored(map_batches(slim, find, f"_id {id_type}, _text_hash bigint, {numbers}"), "anchors")
 
     one = F.struct(*key, "_anchor", "_first", "_last")
-    runs = found.groupBy("_gram", "_run").agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("_one"))
+    runs = found.groupBy("_gram", "_run").agg(F.sum("_times").alias("_n"), F.min(one).alias("_one"))
     shared = runs.groupBy("_gram").agg(F.count(F.lit(1)).alias("_width")).where("_width > 1")
 
     # Whole runs that repeat.
     again = runs.where("_n > 1").select("_gram", "_run")
-    whole = found.join(again, ["_gram", "_run"], "left_semi").select(*key, F.col("_first").alias("a"), (F.col("_last") + length).alias("b"))
+    spread = F.col("_last") - F.col("_first") + length
+    whole = found.join(again, ["_gram", "_run"], "left_semi").select(*key, F.explode("_places").alias("a"), spread.alias("_size"))
+    whole = whole.select(*key, "a", (F.col("a") + F.col("_size")).alias("b"))
 
     # One member of each different run, with its bytes.
     members = runs.join(shared, "_gram").select("_one.*", "_gram", "_n", "_width")
