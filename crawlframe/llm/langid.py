@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from crawlframe.llm.common import map_batches, without
 
 BINS = 1 << 13
-PER_LANG = 600
-SAMPLE = 4000
+PER_LANG = 250
+SAMPLE = 2000
 CENTROIDS = 4
 REJECT = 0.5
 #: Code points counted at once.
@@ -79,8 +79,11 @@ class Model:
     floor: np.ndarray  # least cosine by length class
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts.astype(np.float32)) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        v = counts.astype(np.float32)
+        np.log1p(v, out=v)
+        v *= self.idf
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
+        return v
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, cosine, whether rejected) of each row of counts."""
