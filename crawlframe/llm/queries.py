@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import decontaminate, langid, pieces, repeats, simhash
+from crawlframe.llm import decontaminate, langid, pieces, quality, repeats, sharding, simhash
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
@@ -33,6 +33,28 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+               OR (n_dup_lines > 3 AND 10 * n_dup_lines > n_words)) AS kept
+FROM b""")
+def op4_quality_rules(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_suffix_array_dedup(spark, sf_dir):
     rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -72,3 +94,9 @@ def op9_sentencepiece(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.element_at("offsets", -1).cast("bigint").alias("bytes_covered"),
     )
+
+
+@query()
+def op10_sharding(spark, sf_dir):
+    rows = sharding.assign(table(spark, sf_dir, "documents"))
+    return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
