@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import chat, decontaminate, langid, pieces, quality, repeats, sharding, simhash
+from crawlframe.llm import chat, decontaminate, langid, maintext, pieces, quality, repeats, sharding, simhash, warc
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
@@ -42,6 +42,12 @@ def op2_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op3_html_extraction(spark, sf_dir):
+    rows = maintext.extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines_deleted")
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
@@ -86,6 +92,11 @@ def op6_language_id(spark, sf_dir):
     return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op7_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf_dir):
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
