@@ -482,11 +482,12 @@ def viewed_paths(spark, sf):
 @query(sql(
     "SELECT e.site, e.uri, CAST(row_number() OVER (PARTITION BY e.site ORDER BY md5(e.uri), e.uri) AS BIGINT) AS rn, "
     "coalesce(o.wait_s, 5.0) AS wait_s, (row_number() OVER (PARTITION BY e.site ORDER BY md5(e.uri), e.uri) - 1) * "
-    "CAST(round(greatest(5.0, coalesce(o.wait_s, 5.0)) * 1000) AS BIGINT) AS offset_ms FROM everything e LEFT JOIN "
+    "(CAST(round(greatest(5.0, coalesce(o.wait_s, 5.0)) * 1000) AS BIGINT) + 199) + CAST(concat('0x', "
+    "substr(md5(e.uri), 1, 6)) AS BIGINT) % 200 AS offset_ms FROM everything e LEFT JOIN "
     "outcome o ON e.site = o.site", "everything", "outcome"))
 def politeness_schedule(spark, sf):
     waits = robots.robots_outcome(view(spark, sf, "robots_log_v"), CONFIG.agent)
-    return frontier.politeness_schedule(everything(spark, sf), waits, jitter_ms=0)
+    return frontier.politeness_schedule(everything(spark, sf), waits, jitter_ms=200)
 
 
 @query(sql(
@@ -677,9 +678,8 @@ def redirect_links(spark, sf):
 
 
 @query(sql(
-    "SELECT w.site, w.uri, CAST(row_number() OVER (PARTITION BY w.site ORDER BY md5(w.uri), w.uri) AS BIGINT) AS rn, "
-    "coalesce(o.wait_s, 5.0) AS wait_s FROM r_waiting w LEFT JOIN outcome o ON w.site = o.site WHERE w.site IN "
-    "(SELECT site FROM r_selected)", "r_waiting", "r_selected", "outcome"))
+    "SELECT q.site, q.uri, CAST(row_number() OVER (PARTITION BY q.site ORDER BY md5(q.uri), q.uri) AS BIGINT) AS rn, "
+    "o.wait_s FROM r_queue q JOIN outcome o ON q.site = o.site", "r_queue", "outcome"))
 def crawl_round_(spark, sf):
     fetched = page_table(spark, sf).select(urls.site_key("url").alias("site"), urls.strip_fragment("url").alias("uri"))
     result = crawl.crawl_round(

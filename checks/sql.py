@@ -150,6 +150,17 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         "LEFT JOIN weights w ON f.site = w.site GROUP BY f.site)) WHERE rank <= least("
         "25 - (SELECT count(*) FROM active), greatest(100, (SELECT count(DISTINCT site) FROM r_waiting) * 2 // 100 + 1))",
     ),
+    # What a chosen site with a settled robots.txt fetches: no page seen before, nothing forbidden.
+    "r_queue": (
+        ("r_waiting", "r_selected", "outcome", "rules"),
+        "SELECT t.site, t.uri FROM (SELECT w.site, w.uri FROM r_waiting w JOIN outcome o ON w.site = o.site "
+        "WHERE o.outcome IN ('rules', 'allow_all') AND w.site IN (SELECT site FROM r_selected) AND NOT EXISTS ("
+        f"SELECT 1 FROM pages p WHERE {site_of('p.url')} = w.site AND {path_of('p.url')} = {path_of('w.uri')})) t "
+        "LEFT JOIN rules r ON t.site = r.site AND regexp_matches("
+        "regexp_extract(t.uri, '^[a-z]+://[^/?#]*(.*)', 1), "
+        "'^' || replace(replace(replace(r.pattern, '.', '\\.'), '?', '\\?'), '*', '.*')) GROUP BY t.site, t.uri "
+        "HAVING coalesce(arg_max(r.allow, 2 * length(r.pattern) + CAST(r.allow AS INTEGER)), true)",
+    ),
     "chars": ((), "SELECT doc_id, lang, string_split(text, '') AS c FROM documents"),
     "text_grams": (
         ("chars",),

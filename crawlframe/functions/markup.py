@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed pattern: what hides markup, or else an anchor with its href as group 2. Hidden parts
-# left open reach to the end of the page.
+# left open reach to the end of the page. Nothing is tried twice (possessive loops), so that an
+# anchor of any number of attributes is matched in one pass.
 ANCHOR_HREF = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
     r"|(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
-    r"|a(?:[\s/]+(?!href[\s=>/])[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*"
-    r"[\s/]+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))"
+    r"|a(?:[\s/]+(?!href[\s=>/])[^\s=>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*+"
+    r"(?:[\s/]+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?+)"
 )
 _META_CHARSET = re.compile(rb"(?is)<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_\-:]+)")
 _XML_CHARSET = re.compile(rb"(?is)^\s*<\?xml\b[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9_\-:]+)")
@@ -61,7 +62,7 @@ def page_title(html_: Column) -> Column:
 
 
 def decode_bytes(body: bytes, charset: str | None) -> str:
-    """Declared charset, else byte-order mark, else one named in the page, else UTF-8."""
+    """Byte-order mark, else declared charset, else one named in the page, else UTF-8."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if body.startswith(mark):
             return body.decode(name, "replace")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -157,7 +156,6 @@ def _fault(place: Column, host: Column, port: Column) -> Column:
     )
 
 
-@cache
 def resolved(base: str, hrefs: str) -> Column:
     """Array column ``hrefs`` resolved against column ``base`` and normalised.
 
@@ -247,12 +245,18 @@ def resolved(base: str, hrefs: str) -> Column:
 
 
 def _decoded(text: Column) -> Column:
-    plain = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return F.when(text.contains("%"), F.coalesce(plain, text)).otherwise(text)
+    # Control characters stay encoded, for they would break output lines.
+    safe = F.regexp_replace(text, r"(?i)%(?=[01][0-9a-f]|7f)", "%25")
+    plain = F.try_url_decode(F.replace(safe, F.lit("+"), F.lit("%2B")))
+    lost = plain.contains("\ufffd") & ~F.upper(text).contains("%EF%BF%BD") & ~text.contains("\ufffd")
+    return F.when(text.contains("%"), F.coalesce(F.when(~lost, plain), text)).otherwise(text)
 
 
 def human_url(url) -> Column:
-    """URL with path and query percent-decoded, for output lines."""
+    """URL with path and query percent-decoded, for output lines.
+
+    Encoded control characters stay as they are, and so does a URL whose bytes are no UTF-8.
+    """
     url = _col(url)
     origin = F.regexp_extract(url, _ORIGIN, 1)
     rest = F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1)

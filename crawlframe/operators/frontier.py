@@ -160,14 +160,14 @@ def select_sites(
 
 
 def fetch_list(selected: DataFrame, frontier: DataFrame) -> DataFrame:
-    """URLs of the selected sites. The selection holds at most ``concurrency`` rows."""
-    chosen = F.broadcast(selected.select("site"))
+    """URLs of the selected sites; Spark broadcasts the selection if its size allows."""
+    chosen = selected.select("site")
     return frontier.select("site", "uri").distinct().join(chosen, "site", "left_semi")
 
 
 def remaining_frontier(selected: DataFrame, frontier: DataFrame) -> DataFrame:
     """What still waits after ``fetch_list`` was taken out."""
-    chosen = F.broadcast(selected.select("site"))
+    chosen = selected.select("site")
     return frontier.select("site", "uri").distinct().join(chosen, "site", "left_anti")
 
 
@@ -182,7 +182,8 @@ def politeness_schedule(
     """When each URL of (site, uri) is requested: ``rn`` and ``offset_ms`` from the start.
 
     A site gets one request per wait, never less than the throttle, plus a repeatable
-    jitter below ``jitter_ms``. Within a site URLs go in the order of their MD5, which
+    jitter below ``jitter_ms``. Slots are longer than the wait by the largest jitter, so the
+    gap between two requests is never below the wait. Within a site URLs go in the order of their MD5, which
     stands for the arbitrary order of a set and lets a huge site be ranked in
     ``16 ** pieces`` parts.
     """
@@ -197,5 +198,7 @@ def politeness_schedule(
     ).drop("_digest")
     ranked = ranked.withColumn("wait_s", wait if waits is None else F.coalesce("wait_s", wait))
     step = F.round(F.greatest(F.lit(throttle_s), F.col("wait_s")) * 1000).cast("bigint")
-    jitter = F.pmod(F.xxhash64("uri"), F.lit(jitter_ms)) if jitter_ms else F.lit(0).cast("bigint")
-    return ranked.withColumn("offset_ms", (F.col("rn") - 1) * step + jitter)
+    drawn = F.conv(F.substring(F.md5(F.col("uri")), 1, 6), 16, 10).cast("bigint")
+    jitter = drawn % jitter_ms if jitter_ms else F.lit(0).cast("bigint")
+    slot = step + max(jitter_ms - 1, 0)
+    return ranked.withColumn("offset_ms", (F.col("rn") - 1) * slot + jitter)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlframe.session import stored
+
 SCALE = 10_000
 # Weight of a gram a language never showed: a share of one in ten million.
 UNSEEN = -161_181
@@ -185,8 +187,11 @@ def detect_language(
         totals = scored.select(key, *[F.get("_scores", F.lit(i)).alias(n) for i, n in enumerate(names)])
     else:
         sums = [F.sum(F.col(name) * F.col("n")).alias(name) for name in names]
-        found = gram_counts(docs, [key], text).join(wide, "gram").groupBy(key).agg(*sums)
-        totals = docs.select(key).join(found, key, "left")
+        # Numbered rows: keys may be null or repeated.
+        numbered = docs.select(key, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+        numbered = stored(numbered, "texts")
+        found = gram_counts(numbered, ["_row"], "_text").join(wide, "gram").groupBy("_row").agg(*sums)
+        totals = numbered.select(key, "_row").join(found, "_row", "left").drop("_row")
     ranked = F.array_sort(
         F.array(*[F.struct((-F.col(n)).alias("cost"), F.lit(l).alias("lang")) for n, l in zip(names, languages)])
     )

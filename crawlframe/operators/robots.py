@@ -52,18 +52,33 @@ def _rule(record: Column) -> Column:
     """``allow:/x`` or ``disallow:/x*`` as allow flag, pattern, length and how to match it."""
     pattern = urls.percent_encode(F.regexp_replace(record, r"^[^:]*:", ""))
     open_end = F.regexp_replace(pattern, r"\$$", "")
-    escaped = F.regexp_replace(open_end, r"[\\^$.|?+()\[\]{}]", r"\\$0")
-    regex = F.concat(
-        F.lit("^"),
-        F.regexp_replace(escaped, r"\*+", ".*"),
-        F.when(pattern.endswith("$"), F.lit(r"\z")).otherwise(F.lit("")),
-    )
     return F.struct(
         record.startswith("allow:").alias("allow"),
         pattern.alias("pattern"),
         F.length(pattern).alias("length"),
-        F.when(pattern.rlike(r"[*]|\$$"), regex).alias("regex"),
+        F.when(pattern.rlike(r"[*]|\$$"), F.split(open_end, r"\*+")).alias("parts"),
+        pattern.endswith("$").alias("closed"),
+    )
+
+
+def _fits(rule: Column, target: Column) -> Column:
+    """Whether a pattern of parts fits: each is looked for behind the one before it, in one pass."""
+    first, last = rule.parts[0], F.element_at(rule.parts, -1)
+    middle = F.when(rule.closed, F.slice(rule.parts, 2, F.greatest(F.size(rule.parts) - 2, F.lit(0)))).otherwise(
+        F.slice(rule.parts, 2, F.size(rule.parts))
+    )
+
+    def behind(at: Column, part: Column) -> Column:
+        """First place behind ``part``, or 0 once one is missing."""
+        found = F.call_function("locate", part, target, at)
+        return F.when(at == 0, at).when(part == "", at).when(found > 0, found + F.length(part)).otherwise(0)
+
+    start = F.when(target.startswith(first), F.length(first) + 1).otherwise(0)
+    at = F.aggregate(middle, start, behind)
+    ends = F.when(F.size(rule.parts) == 1, target == first).otherwise(
+        target.endswith(last) & (F.length(target) - F.length(last) + 1 >= at)
     )
+    return (at > 0) & (~rule.closed | ends)
 
 
 def with_rules(robots_docs: DataFrame, agent: str) -> DataFrame:
@@ -113,7 +128,7 @@ def allowed_by(rules: Column, target: Column) -> Column:
     """Longest matching rule decides, allow wins ties, no match allows."""
     hits = F.filter(
         rules,
-        lambda r: F.when(r.regex.isNull(), target.startswith(r.pattern)).otherwise(F.rlike(target, r.regex)),
+        lambda r: F.when(r.parts.isNull(), target.startswith(r.pattern)).otherwise(_fits(r, target)),
     )
     best = F.array_max(F.transform(hits, lambda r: F.struct(r.length.alias("length"), r.allow.alias("allow"))))
     return F.coalesce(best.getField("allow"), F.lit(True))

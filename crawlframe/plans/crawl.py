@@ -45,12 +45,16 @@ def redirect_links(fetch_log: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Round:
-    """What one round leaves behind."""
+    """What one round leaves behind.
+
+    ``skipped`` are selected sites (site, kind) that fetch nothing: events for ``site_weight``.
+    """
 
     frontier: DataFrame
     admitted: DataFrame
     selected: DataFrame
     schedule: DataFrame
+    skipped: DataFrame
 
 
 def crawl_round(
@@ -65,8 +69,11 @@ def crawl_round(
 ) -> Round:
     """From fetched pages (page_id, url, html) to the next fetch schedule.
 
-    Gate, links, robots, handled paths, admission, site choice, schedule. The new frontier
-    is read three times and so written once to the shared folder.
+    Gate, links, robots, handled paths, admission, site choice, then each chosen site's own
+    test of its whole queue, schedule. Only sites whose robots.txt is settled are fetched
+    from. A site that it closes, or whose answer cannot be had, is skipped and its queue
+    dropped; a site that still follows a redirect, or has no answer yet, stays in the frontier. The
+    new frontier is read several times and so written once to the shared folder.
     """
     gate = language_gate(lang, urls.path("url"), config.target_lang)
     links = link_sets(pages, gate=gate, suffixes=config.ignored_suffixes)
@@ -82,7 +89,10 @@ def crawl_round(
         fr.merge_frontiers(frontier, admitted.filter("dest = 'pending'")), "frontier"
     )
     selected = stored(fr.select_sites(waiting, site_state, active, config.concurrency), "selected")
-    schedule = fr.politeness_schedule(
-        fr.fetch_list(selected, waiting), outcome, config.default_wait_s, config.throttle_s
-    )
-    return Round(fr.remaining_frontier(selected, waiting), admitted, selected, schedule)
+    settled = stored(selected.select("site").join(outcome, "site", "left"), "settled")
+    ready = settled.filter(F.col("outcome").isin("rules", "allow_all"))
+    skipped = settled.filter(F.col("outcome").isin("skip", "redirect_overflow"))
+    queue = site_admission(fr.fetch_list(ready, waiting), rules, fetched, config)
+    schedule = fr.politeness_schedule(queue, outcome, config.default_wait_s, config.throttle_s)
+    left = fr.remaining_frontier(ready.select("site").union(skipped.select("site")), waiting)
+    return Round(left, admitted, selected, schedule, skipped.select("site", F.lit("skipped").alias("kind")))

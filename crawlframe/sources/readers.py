@@ -77,5 +77,5 @@ def read_uri_log(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
     return lines.select(
         F.substring_index("value", "\t", 1).alias("url"),
-        F.substring_index("value", "\t", -1).cast("int").alias("status"),
+        F.substring_index("value", "\t", -1).try_cast("int").alias("status"),
     )

@@ -86,7 +86,8 @@ def test_schedule_keeps_its_distance(spark):
     for site, count, step in (("A/", 500, 5000), ("B/", 5, 30000)):
         mine = sorted((r.rn, r.offset_ms) for r in plan if r.site == site)
         assert [rn for rn, _ in mine] == list(range(1, count + 1))
-        assert all(0 <= at - (rn - 1) * step < 200 for rn, at in mine)
+        assert all(0 <= at - (rn - 1) * (step + 199) < 200 for rn, at in mine)
+        assert min(b[1] - a[1] for a, b in zip(mine, mine[1:], strict=False)) >= step
 
 
 def test_split_rank_matches_a_window(spark):
