@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.llm.common import map_batches
 from crawlframe.operators.ordered import split_rank
+from crawlframe.session import stored
 
 # Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,7 +177,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
 
     id_type = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col)
-    parsed = map_batches(slim, parse, f"id {id_type}, url string, main string, rest array<string>")
+    # Written once: pages would be parsed anew for both kinds of pages and for the ranks.
+    parsed = stored(map_batches(slim, parse, f"id {id_type}, url string, main string, rest array<string>"), "lines")
     url = F.coalesce("url", F.lit(""))
     parsed = parsed.withColumns({
         "host": F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)),
