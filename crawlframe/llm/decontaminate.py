@@ -17,7 +17,8 @@ A retrieved item counts as leaked if enough of the three-word windows of its que
 and of its answer (its last sentence; the whole item if it has one only) are in the passage.
 
 The index is cut into shards of at most ``SHARD_WORDS`` words, so what is sent to
-the tasks is bounded whatever the number of items; texts are read once per shard. Words
+the tasks is bounded whatever the number of items; texts are read once per shard. How many shards
+there are depends on the number of words alone, not on files or partitions. Words
 are runs of letters, digits and underscores, lower-cased.
 
 Nulls and repeats: null and wordless texts and items match nothing; repeated items give a
@@ -162,7 +163,7 @@ def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     cut_schema = f"id {benchmark.schema[id_col].dataType.simpleString()}, text string, `all` array<string>"
     items = map_batches(slim, cut, cut_schema).where("size(`all`) > 0").withColumn("row", F.monotonically_increasing_id())
     items = stored(items, "items")
-    facts = items.agg(F.count(F.lit(1)), F.avg(F.size("all")), F.max(F.size("all"))).first()
+    facts = items.agg(F.count(F.lit(1)), F.avg(F.size("all")), F.max(F.size("all")), F.sum(F.size("all"))).first()
     count, mean, longest = facts[0], float(facts[1] or 1), int(facts[2] or 1)
     counted = items.select("row", F.size("all").alias("n"), F.explode("all").alias("word")).groupBy("row", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
     common = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -172,13 +173,13 @@ def index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
         F.sort_array(F.collect_list(F.struct("word", weight.alias("weight")))).alias("words"), F.sum(weight).alias("whole")
     )
     shares = F.transform("words", lambda w: F.struct(w["word"].alias("word"), (w["weight"] / F.col("whole")).alias("weight")))
-    sized = items.join(listed, "row").select("id", "text", F.size("all").alias("n"), shares.alias("words"))
-    # Ranges of the id hold equal numbers of items; the words of each, in order, fill shards.
-    ranged = stored(sized.repartitionByRange(max(1, -(-count * longest // (64 * SHARD_WORDS))), "id", "text"), "sized")
-    local = Window.partitionBy("part").orderBy("id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("part", F.input_file_name())
+    sized = items.join(listed, "row").select("row", "id", "text", F.size("all").alias("n"), shares.alias("words"))
+    # Rows are dealt to buckets of half a shard by a hash of their number; a bucket that turns out fuller is cut.
+    buckets = max(1, -(-2 * int(facts[3] or 0) // SHARD_WORDS))
+    dealt = sized.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    local = Window.partitionBy("bucket").orderBy("id", "text", "row").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("n").over(local), F.lit(0))
-    cut = ranged.withColumn("shard", F.concat_ws("#", "part", F.floor(ahead / SHARD_WORDS)))
+    cut = dealt.withColumn("shard", F.concat_ws("#", "bucket", F.floor(ahead / SHARD_WORDS)))
     return stored(cut.select("shard", "id", "text", "words"), "shards"), longest
 
 
