@@ -88,13 +88,24 @@ def retry_decision(attempts: DataFrame, max_failures: int = 3, piece: str = "hou
     return whole.select(*attempts.columns, "failures", decision.alias("decision"))
 
 
+def buckets(fetch_log: DataFrame, width_us: Column) -> DataFrame:
+    """(site, first_us, last_us, requests) of each stretch of time of that width with requests.
+
+    No pause longer than the width fits into a stretch, and stretches combine ahead of the shuffle.
+    """
+    log = fetch_log.select("site", F.unix_micros("ts").alias("_at"))
+    width = F.greatest(width_us.cast("bigint"), F.lit(1))
+    return log.groupBy("site", (F.col("_at") - F.pmod("_at", width)).alias("_bucket")).agg(
+        F.min("_at").alias("first_us"), F.max("_at").alias("last_us"), F.count(F.lit(1)).alias("requests")
+    ).drop("_bucket")
+
+
 def stale_sites(
     fetch_log: DataFrame,
     now: Column | None = None,
     idle_s: int = 600,
     first_check_s: int = 900,
     check_every_s: int = 300,
-    piece: str = "hour",
 ) -> DataFrame:
     """Pauses of a site longer than ``idle_s``: (site, from_us, to_us, redriven_us).
 
@@ -104,28 +115,19 @@ def stale_sites(
     the last request of the log).
     """
     second = 1_000_000
-    log = fetch_log.select("site", F.unix_micros("ts").alias("_at"), F.date_trunc(piece, "ts").alias("_piece"))
     if now is None:
-        now = log.agg(F.max("_at").alias("now")).scalar()
+        now = fetch_log.agg(F.max(F.unix_micros("ts")).alias("now")).scalar()
     else:
         now = F.unix_micros(now)
-    pieces = log.groupBy("site", "_piece").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     site = Window.partitionBy("site")
-    along = site.orderBy("_piece")
-    spans = pieces.select(
-        "site", "_piece",
-        F.lag("_last").over(along).alias("_before"),
-        F.min("_first").over(site).alias("_start"),
-    )
-    inside = Window.partitionBy("site", "_piece").orderBy("_at")
-    steps = log.withColumn("_prev", F.lag("_at").over(inside)).join(spans, ["site", "_piece"]).select(
-        "site", "_start", F.coalesce("_prev", "_before").alias("from_us"), F.col("_at").alias("to_us")
-    )
-    ends = pieces.groupBy("site").agg(F.min("_first").alias("_start"), F.max("_last").alias("from_us")).select(
-        "site", "_start", "from_us", F.lit(None).cast("bigint").alias("to_us")
+    steps = buckets(fetch_log, F.lit(idle_s * second)).select(
+        "site",
+        F.min("first_us").over(site).alias("_start"),
+        F.col("last_us").alias("from_us"),
+        F.lead("first_us").over(site.orderBy("first_us")).alias("to_us"),
     )
     until = F.coalesce("to_us", now)
-    pauses = steps.filter("from_us IS NOT NULL").unionByName(ends).filter(until - F.col("from_us") > idle_s * second)
+    pauses = steps.filter(until - F.col("from_us") > idle_s * second)
     base = F.col("_start") + first_check_s * second
     every = check_every_s * second
     looks = F.greatest(
@@ -137,22 +139,14 @@ def stale_sites(
     )
 
 
-def site_sessions(fetch_log: DataFrame, gap: str = "10 minutes", piece: str = "hour") -> DataFrame:
+def site_sessions(fetch_log: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """Runs of activity per site, apart by more than ``gap``: (site, first_us, last_us, requests).
 
-    Runs are found inside each ``piece`` of time first; only those runs are then joined
-    across pieces, so a busy site is spread over tasks.
+    Requests are folded into stretches as wide as the gap first; only those are ordered, so a
+    busy site is spread over tasks.
     """
     limit = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {gap}"))
-    log = fetch_log.select("site", F.unix_micros("ts").alias("_at"), F.date_trunc(piece, "ts").alias("_piece"))
-    inside = Window.partitionBy("site", "_piece").orderBy("_at")
-    breaks = F.col("_at") - F.lag("_at").over(inside) > limit
-    parts = (
-        log.withColumn("_breaks", F.coalesce(breaks, F.lit(False)).cast("int"))
-        .withColumn("_run", F.sum("_breaks").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
-        .groupBy("site", "_piece", "_run")
-        .agg(F.min("_at").alias("first_us"), F.max("_at").alias("last_us"), F.count(F.lit(1)).alias("requests"))
-    )
+    parts = buckets(fetch_log, limit)
     along = Window.partitionBy("site").orderBy("first_us")
     apart = F.col("first_us") - F.lag("last_us").over(along) > limit
     return (

@@ -88,9 +88,8 @@ def test_sessions_match_session_windows(spark):
         .select("site", F.unix_micros("a"), F.unix_micros("b"), "n")
     )
     want = sorted(tuple(r) for r in native.collect())
-    for piece in ("hour", "day"):
-        got = fetchlog.site_sessions(df, "20 minutes", piece)
-        assert sorted(tuple(r) for r in got.collect()) == want
+    got = fetchlog.site_sessions(df, "20 minutes")
+    assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_throughput_and_paths(spark):

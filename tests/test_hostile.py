@@ -1,5 +1,6 @@
 """Pages, addresses and robots bodies made to do harm."""
 
+import html
 import re
 import time
 
@@ -61,3 +62,11 @@ def test_both_ways_of_scoring_agree(spark):
         sorted(map(repr, language.detect_language(docs, profiles, ("de", "en", "fr"), broadcast_rows=n).collect())) for n in (10**6, 0)
     )
     assert one == two
+
+
+def test_references_are_undone_once(spark):
+    texts = ["&#47;a&#38;b=1", "/q?a=1&#x26;b=2", "&eacute;&nbsp;&amp;lt;", "&#38;lt;", "&#0;&#xD800;&#x110000;&#99999999999;",
+             "&#150;&#x1F600;&#1;", "a & b &", "&nosuch; &#; &#x;", "&amp;#39;", "plain", "&" * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(markup.unescape_basic(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts]
