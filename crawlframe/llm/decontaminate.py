@@ -70,6 +70,7 @@ class Shard:
     item: np.ndarray
     weight: np.ndarray
     block_max: np.ndarray  # by word and block of items
+    best: np.ndarray  # by word
     span: int
 
     @classmethod
@@ -84,7 +85,7 @@ class Shard:
         block_max = np.zeros((len(numbers), -(-len(rows) // BLOCK)))
         np.maximum.at(block_max, (term, item // BLOCK), weight)
         items = [(r["id"], *([numbers[w] for w in part] for part in question_and_answer(r["text"]))) for r in rows]
-        return cls(items, numbers, np.searchsorted(term, np.arange(len(numbers) + 1)), item, weight, block_max, span)
+        return cls(items, numbers, np.searchsorted(term, np.arange(len(numbers) + 1)), item, weight, block_max, block_max.max(1), span)
 
     def wand(self, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items of a block that reach the threshold."""
@@ -127,9 +128,8 @@ class Shard:
         key = np.unique(np.concatenate([k, k[k > 0] - 1]) * len(self.numbers) + np.concatenate([terms[at], terms[at][k > 0]]))
         passage, word = np.divmod(key, len(self.numbers))
         first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        best = self.block_max.max(1)
         slack = threshold - 1e-9  # sums are rounded
-        hopeful = np.add.reduceat(best[word], first) >= slack
+        hopeful = np.add.reduceat(self.best[word], first) >= slack
         last = np.append(first[1:], len(word))
         for a, b in zip(first[hopeful].tolist(), last[hopeful].tolist(), strict=True):
             bounds = self.block_max[word[a:b]].sum(0)
