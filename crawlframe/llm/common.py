@@ -30,12 +30,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """Apply ``work`` to each Arrow batch in turn; only one batch is held."""
+    """Apply ``work`` to each Arrow batch in turn; only one batch is held, and none once the task is done.
+
+    Python workers outlive their tasks: what Arrow keeps for later is given back at the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out
+                del out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

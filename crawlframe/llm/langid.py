@@ -36,7 +36,9 @@ SAMPLE = 2000
 CENTROIDS = 4
 REJECT = 0.5
 #: Code points counted at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
+#: Texts scored at once.
+ROWS = 64
 #: Texts are compared with those of about their length: powers of two of their n-grams.
 LENGTHS = 24
 UNKNOWN = "und"
@@ -120,9 +122,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
         def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = [gram_counts(t) for t in batch.column(1).to_pylist()]
-            some = [i for i, c in enumerate(found) if c is not None]
-            packed = [np.minimum(found[i], 65535).astype(np.uint16).tobytes() for i in some]
+            some, packed = [], []
+            for i, text in enumerate(batch.column(1)):
+                if (found := gram_counts(text.as_py())) is not None:
+                    some.append(i)
+                    packed.append(np.minimum(found, 65535).astype(np.uint16).tobytes())
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
         rows = map_batches(known.where(drawn < share[F.col(lang_col)]).select(lang_col, text_col), count, "lang string, counts binary")
@@ -156,12 +160,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     names, at = [*docs.columns, "lang_pred", "score", "rejected"], docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [gram_counts(t.as_py()) for t in batch.column(at)]
-        some = [i for i, c in enumerate(found) if c is not None] if model.languages else []
-        lang, score, rejected = np.full(len(found), UNKNOWN, object), np.zeros(len(found)), np.ones(len(found), bool)
-        if some:
-            which, score[some], rejected[some] = model.predict(np.stack([found[i] for i in some]))
-            lang[some] = np.array(model.languages, object)[which]
+        n, languages = batch.num_rows, np.array(model.languages, object)
+        lang, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
+        for s in range(0, n if model.languages else 0, ROWS):
+            found = {s + i: c for i, t in enumerate(batch.column(at).slice(s, ROWS)) if (c := gram_counts(t.as_py())) is not None}
+            if some := list(found):
+                which, score[some], rejected[some] = model.predict(np.stack(list(found.values())))
+                lang[some] = languages[which]
         extra = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
         return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 

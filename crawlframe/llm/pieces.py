@@ -326,21 +326,27 @@ def model_bytes(path: str) -> bytes:
     return body
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``ids`` and ``offsets`` (one more than ids; source bytes)."""
-    docs = without(docs, "ids", "offsets")
-    names, at = [*docs.columns, "ids", "offsets"], docs.columns.index(text_col)
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """All columns of ``docs``, ``ids`` and ``offsets`` (one more than ids; source bytes).
+
+    With ``decoded`` also what ``decode`` would add: the text of the ids. It is worked out where the ids are, so
+    they are not sent to a second Python process of the task.
+    """
+    extra = T.StructType.fromDDL("ids array<int>, offsets array<int>" + (", decoded string" if decoded else ""))
+    docs = without(docs, *extra.names)
+    names, at = [*docs.columns, *extra.names], docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = loaded(shared.value)
         parts = [model.encode(t.as_py() or "") for t in batch.column(at)]
-        lists = [
+        made = [
             list_of(np.concatenate([p[k] for p in parts]), np.array([len(p[k]) for p in parts]), pa.int32()) for k in (0, 1)
         ]
-        return pa.RecordBatch.from_arrays([*batch.columns, *lists], names=names)
+        if decoded:
+            made.append(pa.array([model.decode(ids.tolist()) for ids, _ in parts], pa.string()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
-    extra = T.StructType.fromDDL("ids array<int>, offsets array<int>")
     return map_batches(docs, work, T.StructType([*docs.schema.fields, *extra.fields]))
 
 

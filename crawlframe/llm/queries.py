@@ -106,7 +106,7 @@ def op8_simhash_near_dedup(spark, sf_dir):
 @query()
 def op9_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = pieces.decode(pieces.encode(docs, PIECES).drop("text"), PIECES)
+    rows = pieces.encode(docs, PIECES, decoded=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

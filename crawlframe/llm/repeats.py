@@ -43,7 +43,7 @@ from crawlframe.session import stored
 
 GRAM = 64
 #: Windows worked on at once; below 2**24, the places that fit beside a hash.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Most different runs under one gram that are ordered by one task (about 12 MB).
 WIDE_GROUP = 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
