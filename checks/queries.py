@@ -294,13 +294,13 @@ def _script_sql() -> str:
     return (
         "SELECT doc_id, md5(CASE WHEN p = '' THEN text ELSE regexp_replace(text, '[' || p || ']', '', 'g') END) AS digest, "
         "length(p) > 0 AS changed FROM (SELECT doc_id, text, CASE WHEN rest = 0 THEN '' ELSE " + removed + " END AS p "
-        f"FROM (SELECT doc_id, text, {count('Latin')} AS latin, length({rest}) AS rest FROM documents))"
+        f"FROM (SELECT doc_id, text, {count('Latin')} AS latin, length({rest}) AS rest FROM mixed_v))"
     )
 
 
-@query(_script_sql())
+@query(sql(_script_sql(), "mixed_v"))
 def script_filter(spark, sf):
-    kept = language.script_filter(documents(spark, sf).select("doc_id", "text"))
+    kept = language.script_filter(spread(view(spark, sf, "mixed_v")))
     return kept.select("doc_id", F.md5("text").alias("digest"), (F.col("scripts_removed") > 0).alias("changed"))
 
 
@@ -544,7 +544,7 @@ _SHARDS = (
 @query(sql(_SHARDS.replace("/*RECURSE*/, ", "WITH RECURSIVE ", 1) + "SELECT page_id, shard, batch FROM rolled"))
 def byte_batches_(spark, sf):
     sized = page_table(spark, sf).select("page_id", F.octet_length("html").cast("bigint").alias("read_bytes"))
-    return byte_batches(sized, 20_000).select("page_id", "shard", "batch")
+    return byte_batches(sized, 20_000, digits=1).select("page_id", "shard", "batch")
 
 
 # Top-k

@@ -55,14 +55,20 @@ JOIN (SELECT regexp_extract(site, '([a-z]+)/$', 1) AS tld, min(site) AS site
       WHERE length(site) % 11 IN (0, 1, 2, 3, 10) GROUP BY 1) f
   ON regexp_extract(s.site, '([a-z]+)/$', 1) = f.tld""",
     "redirects_v": """
-SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM {part}) AS dst
-FROM {part} WHERE p_size > 4""",
+SELECT p_partkey AS src, CASE WHEN p_size > 4 THEN (p_partkey * 7 + 3) % (SELECT count(*) FROM {part})
+       ELSE -p_partkey - 1 END AS dst
+FROM {part}""",
     "graph_v": """
-SELECT p_partkey AS src, (p_partkey * 3 + 1) % (SELECT count(*) FROM {part}) AS dst
-FROM {part} WHERE p_size > 12
+SELECT p_partkey AS src, CASE WHEN p_size > 12 THEN (p_partkey * 3 + 1) % (SELECT count(*) FROM {part})
+       ELSE -p_partkey - 1 END AS dst
+FROM {part}
 UNION ALL
-SELECT p_partkey, (p_partkey * 5 + 2) % (SELECT count(*) FROM {part})
-FROM {part} WHERE p_size > 12""",
+SELECT p_partkey, CASE WHEN p_size > 12 THEN (p_partkey * 5 + 2) % (SELECT count(*) FROM {part})
+       ELSE -p_partkey - 1 END
+FROM {part}""",
+    "mixed_v": """
+SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN 'жук' WHEN 1 THEN repeat('жук', 200) WHEN 2 THEN '日本' ELSE '' END AS text
+FROM {documents}""",
     "hrefs_v": """
 SELECT page_id, url AS base, CASE page_id % 15
          WHEN 0 THEN concat('/files/a', page_id, '.jpg')

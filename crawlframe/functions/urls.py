@@ -106,16 +106,16 @@ def percent_encode(text: Column, also: str = "") -> Column:
 
 
 def remove_dot_segments(path_: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments; paths without any skip the work."""
-    segments = F.split(F.regexp_replace(path_, r"(/\.\.?)$", "$1/"), "/")
-    kept = F.aggregate(
-        F.slice(segments, F.lit(2), F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when(seg == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(seg))),
+    """Resolve ``.`` and ``..`` segments; paths without any skip the work.
+
+    The path is cut at ``..`` only, and each cut takes one segment off what lies before it.
+    """
+    plain = F.regexp_replace(F.regexp_replace(path_, r"(/\.\.?)$", "$1/"), r"/\.(?=/)", "")
+    parts = F.split(plain, r"/\.\.(?=/)")
+    without_last = lambda kept: F.left(kept, F.length(kept) - F.length(F.substring_index(kept, "/", -1)) - 1)
+    resolved = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)), parts[0], lambda kept, part: F.concat(without_last(kept), part)
     )
-    resolved = F.concat(F.lit("/"), F.array_join(kept, "/"))
     return F.when(path_.rlike(r"/\.\.?(?:/|$)"), resolved).otherwise(path_)
 
 

@@ -37,17 +37,27 @@ def file_starts(sizes: np.ndarray, counted: int, limit: int) -> tuple[list[int],
         begin, counted = at + 1, 0
 
 
+def digits_for(total: int, max_bytes: int, files: int = 10) -> int:
+    """Fewest digits with which a shard is ``files`` files at most on average."""
+    digits = 0
+    while 16**digits * files * max_bytes < total:
+        digits += 1
+    return digits
+
+
 def byte_batches(
-    docs: DataFrame, max_bytes: int, key: str = "page_id", size: str = "read_bytes", digits: int = 1
+    docs: DataFrame, max_bytes: int, key: str = "page_id", size: str = "read_bytes", digits: int | None = None
 ) -> DataFrame:
     """Add ``shard`` and ``batch``: within a shard, in ``key`` order, files of ``max_bytes``.
 
     Rolling by size goes record by record, so documents are dealt to ``16 ** digits``
     shards by a digest of their unique key: shards are alike in size whatever site the
-    documents come from. Choose ``digits`` so that a shard is some ten files. Only keys
-    and sizes are rolled, in batches and with constant memory; only the first keys of
-    files come back, and documents find their file by them.
+    documents come from. Without ``digits`` the sizes are added up first, and a shard is some
+    ten files. Only keys and sizes are rolled, in batches and with constant memory; only the
+    first keys of files come back, and documents find their file by them.
     """
+    if digits is None:
+        digits = digits_for(docs.agg(F.sum(F.col(size).cast("bigint"))).first()[0] or 0, max_bytes)
     sharded = docs.withColumn("shard", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
     key_type = docs.schema[key].dataType.simpleString()
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlframe.functions import urls
 from crawlframe.session import stored
 
 
-def resolve_redirects(edges: DataFrame, max_hops: int = 10) -> DataFrame:
+def resolve_redirects(edges: DataFrame, max_hops: int = 10, same_authority: bool = False) -> DataFrame:
     """Where each redirecting address ends: (src, target, hops, outcome).
 
     ``edges`` (src, dst) has one row per address. Outcome is ``final``, ``loop`` when an
@@ -16,10 +17,14 @@ def resolve_redirects(edges: DataFrame, max_hops: int = 10) -> DataFrame:
     one another; the last two have no target. Paths are doubled round by round, so ten
     hops take four joins, and each round is written before the next reads it. Many
     addresses that lead to one page meet a single row there, which a skew join may copy.
+
+    With ``same_authority`` (addresses are URLs) a chain ends where it first comes to another
+    authority: that address is its target, for the frontier.
     """
-    walk = stored(
-        edges.select("src", F.array("dst").alias("path"), F.col("dst").alias("at")), "redirects"
-    )
+    further = F.col("dst")
+    if same_authority:
+        further = F.when(urls.address("src") == urls.address("dst"), further)
+    walk = stored(edges.select("src", F.array("dst").alias("path"), further.alias("at")), "redirects")
     length = 1
     while length <= max_hops:
         ahead = walk.select(F.col("src").alias("at"), F.col("path").alias("_path"), F.col("at").alias("_at"))
@@ -29,7 +34,7 @@ def resolve_redirects(edges: DataFrame, max_hops: int = 10) -> DataFrame:
                 F.when(F.col("_path").isNull(), F.col("path"))
                 .otherwise(F.slice(F.concat("path", "_path"), 1, max_hops + 1))
                 .alias("path"),
-                F.coalesce("_at", "at").alias("at"),
+                F.when(F.col("_path").isNull(), F.col("at")).otherwise(F.col("_at")).alias("at"),
             ),
             "redirects",
         )
@@ -56,11 +61,12 @@ def resolve_redirects(edges: DataFrame, max_hops: int = 10) -> DataFrame:
 def reachable(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` (node) over ``links`` (src, dst): (node, depth).
 
-    Each round folds its targets before it drops the known ones, and is written to the
+    Different links are written once, grouped by source: what makes them is not run again in each
+    round. Each round folds its targets before it drops the known ones, and is written to the
     shared folder, so plans stay short and lost executors cost one round at most. Every
     eighth round the written pieces are joined into one.
     """
-    edges = links.select("src", "dst")
+    edges = stored(links.select("src", "dst").distinct().repartition("src"), "edges")
     latest = stored(seeds.select("node", F.lit(0).cast("bigint").alias("depth")).distinct(), "reach")
     known = latest
     depth = 0

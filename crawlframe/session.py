@@ -33,6 +33,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # Partial sessions are merged in each task before they are shuffled.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    # Streams may remember every URL: their state is kept off the heap.
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     # Page bodies reach 2 MiB each, so Arrow batches are kept short.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return spark
@@ -72,12 +77,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(source: DataFrame, most_splits: int = 32) -> DataFrame:
-    """Deal a source with few splits out to all cores.
+def spread(source: DataFrame) -> DataFrame:
+    """Deal rows that are dear to work on out to partitions of the advised size.
 
-    For small tables in a few files whose rows are dear to work on. A table with
-    ``most_splits`` or more has work enough for its size and is not shuffled. Pass nothing
-    that shuffles already: it would run here.
+    One shuffle, whatever the table's size; ask for it where a table lies in few files.
     """
-    cores = source.sparkSession.sparkContext.defaultParallelism
-    return source.repartition(cores) if source.rdd.getNumPartitions() < min(cores, most_splits) else source
+    return source.hint("rebalance")

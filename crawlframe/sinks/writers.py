@@ -37,13 +37,13 @@ def write_html_archive(
     max_bytes: int = 200 * 1024 * 1024,
     target_lang: str | None = None,
     key: str = "page_id",
-    digits: int = 1,
+    digits: int | None = None,
     mode: str = "append",
 ) -> None:
     """Write documents (key, url, html[, lang][, ok]) as gzipped archives rolled by size.
 
     Failed parses (``ok`` false) and, with ``target_lang``, other languages are left out.
-    Files lie in ``file=<shard>-%06d`` folders; see ``byte_batches`` for ``digits``.
+    Files lie in ``file=<shard>-%06d`` folders. Documents are read twice unless ``digits`` is given; see ``byte_batches`` for ``digits``.
     """
     if "ok" in docs.columns:
         docs = docs.filter("ok")

@@ -38,7 +38,7 @@ def load_seeds(
 def read_pages(spark: SparkSession, path: str, use_all_cores: bool = False) -> DataFrame:
     """Fetched pages; bodies are only read by jobs that use them.
 
-    ``use_all_cores`` is for jobs that read bodies of small tables, see ``spread``.
+    ``use_all_cores`` is for jobs that work on bodies of a table in few files, see ``spread``.
     """
     pages = spark.read.parquet(path)
     return spread(pages) if use_all_cores else pages

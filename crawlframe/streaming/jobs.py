@@ -33,13 +33,16 @@ def stream_frontier(links: DataFrame, within: str | None = None, ts: str = "ts")
 def stream_site_state(log: DataFrame, idle: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """State of each site's run of activity, reported when it has been idle.
 
-    A run whose robots.txt was answered with a status that forbids a crawl is ``skipped``,
+    A run whose robots.txt was answered with a status that forbids a crawl, or (if the log has
+    ``location``) with a redirect that names no target, is ``skipped``,
     one that only asked for robots.txt is ``robots``, others are ``completed``. Runs are
     session windows: their partial counts are merged in each task before they move, so a
     site with a third of the traffic does not pass through one task row by row.
     """
     robots = F.col("uri").endswith("/robots.txt")
     refused = robots & ~F.col("status").isin(200, 400, 403, 404, 500) & ~F.col("status").between(300, 399)
+    if "location" in log.columns:
+        refused = refused | (robots & F.col("status").between(300, 399) & F.col("location").isNull())
     runs = (
         log.withWatermark("ts", late)
         .groupBy("site", F.session_window("ts", idle).alias("_w"))
@@ -66,12 +69,13 @@ def stream_site_state(log: DataFrame, idle: str = "10 minutes", late: str = "1 h
 
 
 def start_route(
-    docs: DataFrame, uri_path: str, html_path: str, checkpoint: str, target_lang: str
+    docs: DataFrame, uri_path: str, html_path: str, checkpoint: str, target_lang: str, every: str | None = None
 ) -> StreamingQuery:
     """One feed, two outputs: every event to the URI log, target-language documents to the archive.
 
     ``docs`` has (uri, status, lang, html). Each micro-batch writes folders of its own
-    number, so a repeated batch replaces what it wrote before.
+    number, so a repeated batch replaces what it wrote before. With ``every`` (an interval)
+    the query keeps running; else it ends with the input at hand.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -90,7 +94,7 @@ def start_route(
     return (
         docs.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 

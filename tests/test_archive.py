@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from crawlframe.config import ARCHIVE_SEPARATOR, CrawlConfig
-from crawlframe.operators.archive import byte_batches, file_starts
+from crawlframe.operators.archive import byte_batches, digits_for, file_starts
 from crawlframe.sinks.writers import write_html_archive, write_uri_log
 from crawlframe.sources import readers
 
@@ -40,12 +40,16 @@ def test_byte_batches(spark):
     data = [(i, rng.randrange(1, 100)) for i in range(500)]
     df = spark.createDataFrame(data, "page_id bigint, read_bytes bigint")
     got = byte_batches(df, 300).collect()
-    assert len(got) == 500
+    assert len(got) == 500 and len({r.shard for r in got}) == 16
     for shard in {r.shard for r in got}:
         mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.page_id)
         assert [r.batch for r in mine] == roll([r.read_bytes for r in mine], 300)
 
 
+def test_shards_follow_the_size():
+    assert [digits_for(n, 10) for n in (0, 100, 101, 1600, 1601)] == [0, 0, 1, 1, 2]
+
+
 def test_archive_round_trip(spark, tmp_path):
     docs = [(i, f"http://h.example.org/{i}%20x", f"<p>\n{i} é\n</p>\n" * i, i % 3 > 0, "ja" if i % 2 else "en") for i in range(40)]
     df = spark.createDataFrame(docs, "page_id bigint, url string, html string, ok boolean, lang string")

@@ -47,3 +47,13 @@ def test_reachable(spark):
     got = {r.node: r.depth for r in graph.reachable(seeds, df).collect()}
     assert got == {99: 0} | {i: i for i in range(7)} | {i: i - 6 for i in range(7, 13)}
     assert {r.node for r in graph.reachable(seeds, df, max_rounds=1).collect()} == {0, 1, 7, 99}
+
+
+def test_redirects_end_at_another_authority(spark):
+    edges = {"http://a/1": "http://a/2", "http://a/2": "http://b/1", "http://b/1": "http://b/2", "http://b/2": "http://b/3", "http://b/9": "http://b/9"}
+    df = spark.createDataFrame(list(edges.items()), "src string, dst string")
+    got = {r.src: (r.target, r.hops, r.outcome) for r in graph.resolve_redirects(df, same_authority=True).collect()}
+    assert got == {
+        "http://a/1": ("http://b/1", 2, "final"), "http://a/2": ("http://b/1", 1, "final"), "http://b/1": ("http://b/3", 2, "final"),
+        "http://b/2": ("http://b/3", 1, "final"), "http://b/9": (None, None, "loop"),
+    }

@@ -1,6 +1,7 @@
 """Pages, addresses and robots bodies made to do harm."""
 
 import html
+import random
 import re
 import time
 
@@ -70,3 +71,24 @@ def test_references_are_undone_once(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(markup.unescape_basic(F.col("t"))).collect()]
     assert got == [html.unescape(t) for t in texts]
+
+
+def test_dot_segments_of_any_number(spark):
+    def plain(path):
+        kept = []
+        path = path + "/" if re.search(r"/\.\.?$", path) else path
+        for s in path.split("/")[1:]:
+            if s == "..":
+                kept[-1:] = []
+            elif s != ".":
+                kept.append(s)
+        return "/" + "/".join(kept)
+
+    rnd = random.Random(4)
+    paths = ["/" + "/".join(rnd.choice(["a", "b", "..", ".", "", "...", ".x", "é"]) for _ in range(rnd.randrange(1, 9))) for _ in range(400)]
+    paths += ["/a" * 20_000 + "/.." * 20_000, "/a/.." * 20_000 + "/end", "/." * 20_000]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    began = time.time()
+    got = {r.p: r.d for r in df.select("p", urls.remove_dot_segments(F.col("p")).alias("d")).collect()}
+    assert time.time() - began < 20
+    assert got == {p: plain(p) for p in paths}

@@ -57,7 +57,7 @@ def test_site_states(spark):
         (0, "b/", "b/robots.txt", 503), (0, "c/", "c/robots.txt", 404),
     ]
     _, stream = feed(spark, seen)
-    got = rows(jobs.run_to_table(jobs.stream_site_state(stream, "10 minutes"), "s", "complete").select("site", "requests", "state"))
+    got = rows(jobs.run_to_table(jobs.stream_site_state(stream, "10 minutes", late="2 hours"), "s", "complete").select("site", "requests", "state"))
     assert got == [("a/", 1, "completed"), ("a/", 2, "completed"), ("b/", 1, "skipped"), ("c/", 1, "robots")]
 
 
