@@ -2,7 +2,8 @@
 
 A page's html becomes lines, one for each block, with references decoded and white space made single blanks.
 Parts that the markup itself marks as other than content (menus, headers, footers, asides, adverts, forms, comments,
-scripts and so on, by element, role, class or id) give no lines. Lines within ``article`` or ``main`` are
+scripts and so on, by element, role, class or id) give no lines; a form, role, class or id does not hide an element with
+an article in it or, on a page without articles, over half of the page's text. Lines within ``article`` or ``main`` are
 content. Of the other lines, those are deleted that the page shares with its neighbour: within each host pages are ordered
 by path, each is paired with the neighbour of the longer common path, their lines are aligned by a
 longest common subsequence, and the lines of the subsequence go. A neighbour whose lines are all the
@@ -35,7 +36,7 @@ BLOCKS = frozenset(
     "hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NOT_CONTENT = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input map math menu nav noscript object option script "
+    "aside audio button canvas datalist dialog footer head iframe input map math menu nav noscript object option script "
     "search select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -47,26 +48,50 @@ MARKS = frozenset(
 CLOSES_P = BLOCKS - {"body", "html", "li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
 WHITE = re.compile(r"\s+")
 MARK = re.compile(r"[a-z]+")
+#: Parts of the ids of wrappers, which name what lies in them.
+WRAPS = frozenset("has no with without is".split())
+#: Text of these is content in an article.
+INLINE = frozenset("button map math object option select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marked elements in each other that are told apart.
+DEPTH = 16
 
 
 class Lines(HTMLParser):
-    """Collects (line, whether in an article)."""
+    """Collects (line, whether in an article, whether a heading, the marked elements it lies in).
+
+    Whether a mark hides its element is known at the end only: it does not if an article lies in the element,
+    or, on a page without articles, over half of the page's text.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
-        self.open: list[tuple[str, bool, bool]] = []  # element, hidden here, in an article
+        self.found: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element, hidden here, in an article, marked elements
         self.text: list[str] = []
+        self.marks = 0
+        self.holding: set[int] = set()  # marked elements with an article
 
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def state(self) -> tuple[bool, bool, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, False, ())
 
     def flush(self) -> None:
         line = WHITE.sub(" ", "".join(self.text)).strip()
         self.text = []
-        hidden, inside = self.state()
+        hidden, inside, marked = self.state()
         if line and not hidden:
-            self.lines.append((line, inside))
+            self.found.append((line, inside, any(t[0] in HEADINGS for t in self.open[-8:]), marked))
+
+    def lines(self) -> list[tuple[str, bool, bool]]:
+        """(line, whether in an article, whether a heading) of what no mark hides."""
+        sizes: dict[int, int] = {}
+        for line, _, _, marked in self.found:
+            for n in marked:
+                sizes[n] = sizes.get(n, 0) + len(line)
+        whole = sum(len(line) for line, *_ in self.found)
+        article = any(inside for _, inside, _, marked in self.found if self.holding.issuperset(marked))
+        shown = self.holding | {n for n, size in sizes.items() if not article and 2 * size > whole}
+        return [(line, inside, heading) for line, inside, heading, marked in self.found if shown.issuperset(marked)]
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -75,24 +100,38 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self.flush()
             return
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in self.open[-8:]):
+        if tag in CLOSES_P and any(t[0] == "p" for t in self.open[-8:]):
             self.close_tag("p")
-        if tag in BLOCKS or tag in NOT_CONTENT or tag == "header":
+        if tag in BLOCKS or tag in NOT_CONTENT and not (tag in INLINE and self.state()[1]) or tag in ("form", "header"):
             self.flush()
-        hidden, inside = self.state()
-        inside = inside or tag in ("article", "main")
+        hidden, inside, marks = self.state()
         if not hidden:
-            hidden = tag in NOT_CONTENT or tag == "header" and not inside or self.marked(tag, dict(attrs))
-            if hidden:
+            attrs = dict(attrs)
+            hidden = tag in NOT_CONTENT and not (tag in INLINE and inside) or tag == "header" and not inside or self.unseen(tag, attrs)
+            marked = not hidden and self.marked(tag, attrs)
+            if hidden or marked:
                 self.flush()
-        self.open.append((tag, hidden, inside))
+            if marked and len(marks) < DEPTH:
+                self.marks += 1
+                marks = (*marks, self.marks)
+            elif tag in ("article", "main") and not hidden:
+                self.holding.update(marks)
+        inside = inside or tag in ("article", "main")
+        self.open.append((tag, hidden, inside, marks))
+
+    def unseen(self, tag: str, attrs: dict) -> bool:
+        return tag not in ("html", "body", "article", "main") and ("hidden" in attrs or attrs.get("aria-hidden") == "true")
 
     def marked(self, tag: str, attrs: dict) -> bool:
+        """Whether the element is a form or has a role, a whole class name, or an id or its last part, out of the marks."""
+        names = (attrs.get("class") or "").lower().split()
         if tag in ("html", "body", "article", "main"):
-            return tag == "article" and "comment" in MARK.findall((attrs.get("class") or "").lower())
-        if attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+            return tag == "article" and any("comment" in MARK.findall(n) for n in names)
+        if tag == "form" or attrs.get("role") in ROLES:
             return True
-        return any(w in MARKS for k in ("class", "id") for w in MARK.findall((attrs.get(k) or "").lower()))
+        parts = MARK.findall((attrs.get("id") or "").lower())
+        last = parts[-1:] if not WRAPS.intersection(parts) else []
+        return any(w in MARKS for w in (*names, *last))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -106,9 +145,11 @@ class Lines(HTMLParser):
         if at is None:
             return
         # A wrong end tag in a hidden part does not end what lies around that part.
-        if any(h for _, h, _ in self.open[at + 1 :]) and not self.open[at][1] and tag not in BLOCKS | {"article", "main", "body", "html"}:
+        if any(h or m for _, h, _, m in self.open[at + 1 :]) and not (self.open[at][1] or self.open[at][3]) and tag not in BLOCKS | {"article", "main", "body", "html"}:
             return
-        if tag in BLOCKS or tag in NOT_CONTENT or tag == "header" or self.open[at][1] != self.state()[0]:
+        inline = tag in INLINE and self.state()[1]
+        before = self.open[at - 1][1:] if at else (False, False, ())
+        if tag in BLOCKS or tag in NOT_CONTENT and not inline or tag in ("form", "header") or before != self.state():
             self.flush()
         del self.open[at:]
 
@@ -123,13 +164,18 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, bool]]:
-    """The page's lines in order, and whether each is in an article."""
+def parsed_lines(html: str) -> list[tuple[str, bool, bool]]:
+    """The page's lines in order, whether each is in an article, and whether it is a heading."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.lines()
+
+
+def lines_of(html: str) -> list[tuple[str, bool]]:
+    """The page's lines in order, and whether each is in an article."""
+    return [(line, inside) for line, inside, _ in parsed_lines(html)]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

@@ -22,6 +22,19 @@ def test_lines():
     assert text("<div " + "a " * 5000 + ">x</div>" + "<b>" * 3000 + "y") == ["x", "y"]
 
 
+def test_wrappers_do_not_hide_articles():
+    article = "<article><p>the text of the article</p></article>"
+    for wrapper in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="with-nav"', 'div class="comments-open"', 'div class="elementor-widget wide"',
+                    'div id="social-security"', 'div id="has-sidebar"', 'div class="widget"', 'form id="aspnetForm"', 'section role="form"'):
+        tag = wrapper.split()[0]
+        assert text(f'<{wrapper}><div class="ad">buy</div>{article}<form>mail</form></{tag}><form>search</form>') == ["the text of the article"], wrapper
+        assert text(f"<{wrapper}><p>a page without an article</p></{tag}><p>end</p>") == ["a page without an article", "end"], wrapper
+    assert text(article + '<div class="comments"><p>' + "long " * 50 + "</p></div>") == ["the text of the article"]
+    assert text(article + '<div id="comments"><article class="comment-body">reply</article></div>') == ["the text of the article"]
+    assert text("<main><p>a <math><mi>x</mi></math> b <button>c</button> d <select><option>e</option></select></p></main><button>no</button>") == ["a x b c d e"]
+    assert text('<div class="ad">' * 40 + "x" + "</div>" * 40 + "<p>longer text</p>") == ["longer text"]
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(1)
     for _ in range(300):
