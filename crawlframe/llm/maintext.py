@@ -6,14 +6,14 @@ scripts and so on, by element, role, class or id) give no lines; a form, role, c
 an article in it or, on a page without articles, over half of the page's text. Lines within ``article`` or ``main`` are
 content. Of the other lines, those are deleted that the page shares with its neighbour: within each host pages are ordered
 by path, each is paired with the neighbour of the longer common path, their lines are aligned by a
-longest common subsequence, and the lines of the subsequence go. A neighbour whose lines are all the
-same (a copy) tells nothing and is not used. If a page has an article, only the article is returned.
+longest common subsequence, and the lines of the subsequence go. Copies (pages of a host with the same lines)
+are paired as one page, at the least of their paths, and get the same text. If a page has an article, only the article is returned.
 
 Neighbours come from ranks within the host found by pieces, so a host that holds a third of all pages is worked
-on by many tasks; only lines outside of articles are sent to a neighbour.
+on by many tasks; only 64-bit hashes of lines are sent to a neighbour.
 
 Nulls and repeats: null html has no lines and an empty text; null URLs are a host of their own; repeated
-pages are neighbours, and copies of each other; an empty table gives an empty result; other columns are not read.
+pages are copies of each other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,8 @@ INLINE = frozenset("button map math object option select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Marked elements in each other that are told apart.
 DEPTH = 16
+#: What becomes of a line: it stays, goes if the neighbour has it, or goes.
+KEPT, COMPARED, DROPPED = range(3)
 
 
 class Lines(HTMLParser):
@@ -178,9 +182,9 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
     return [(line, inside) for line, inside, _ in parsed_lines(html)]
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Indices of ``a`` in a longest common subsequence with ``b``; bits of one number stand for a's lines."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, line in enumerate(a):
         where[line] = where.get(line, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -211,47 +215,52 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     """(id, url, text, n_lines_deleted) of every page."""
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        main, rest = [], []
+        lines, kinds, keys, marks = [], [], [], []
         for html in batch.column(2):
-            found = lines_of(html.as_py() or "")
-            article = [line for line, inside in found if inside]
-            main.append("\n".join(article) if article else None)
-            rest.append([] if article else [line for line, _ in found])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=["id", "url", "main", "rest"]
-        )
+            found = parsed_lines(html.as_py() or "")
+            article = any(inside for _, inside, _ in found)
+            lines.append([line for line, _, _ in found])
+            kinds.append([KEPT if inside else DROPPED if article else COMPARED for line, inside, heading in found])
+            keys.append(np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines[-1]], np.uint64).view(np.int64))
+            marks.append(xxhash.xxh64_intdigest(keys[-1].tobytes()))
+        columns = [pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))]
+        mark = pa.array(np.array(marks, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, mark], names=["id", "url", "lines", "kinds", "keys", "mark"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col)
-    # Written once: pages would be parsed anew for both kinds of pages and for the ranks.
-    parsed = stored(map_batches(slim, parse, f"id {id_type}, url string, main string, rest array<string>"), "lines")
+    # Written once: pages would be parsed anew for the texts and for the ranks.
+    schema = f"id {id_type}, url string, lines array<string>, kinds array<tinyint>, `keys` array<bigint>, mark bigint"
+    parsed = stored(map_batches(slim, parse, schema), "lines")
     url = F.coalesce("url", F.lit(""))
     parsed = parsed.withColumns({
         "host": F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)),
         "path": F.regexp_replace(url, r"^[A-Za-z][\w+.-]*://[^/?#]*", ""),
-        "block": F.shiftright(F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63))), 10),
     })
-    # Pages with an article need no neighbour; the others are ranked by path within their host.
-    done = parsed.where("main IS NOT NULL").select("id", "url", F.col("main").alias("text"), F.lit(0).cast("bigint").alias("deleted"))
-    open_pages = parsed.where("main IS NULL")
-    first = F.substring("path", 1, 6)
-    ranked = split_rank(open_pages, ["host"], ["path", "block", "id"], [first, F.col("path"), F.col("block")], name="at")
-    sent = F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")
-    near = ranked.select("host", "at", "path", "rest", sent).select(
-        "host", (F.col("at") + F.col("side")).alias("at"), F.struct("side", "path", "rest").alias("other")
+    # Copies on a host are one row, so that neighbours always differ; ranked by path within their host.
+    compared = parsed.where(F.array_contains("kinds", F.lit(COMPARED).cast("tinyint")))
+    folded = stored(compared.groupBy("host", "mark").agg(F.min("path").alias("path"), F.first("keys").alias("keys")), "lists")
+    splits = [F.substring("path", 1, 6), F.col("path"), F.shiftright("mark", 48)]
+    ranked = split_rank(folded, ["host"], ["path", "mark"], splits, name="at")
+    sent = F.explode(F.array(*[F.lit(i) for i in (-1, 1)])).alias("side")
+    near = ranked.select("host", "at", "path", "keys", sent).select(
+        "host", (F.col("at") + F.col("side")).alias("at"), F.struct("side", "path", "keys").alias("other")
     )
-    near = near.groupBy("host", "at").agg(F.sort_array(F.collect_list("other")).alias("others"))  # two at most
-    paired = ranked.join(near, ["host", "at"], "left").select("id", "url", "path", "rest", "others")
+    near = near.groupBy("host", "at").agg(F.collect_list("other").alias("others"))  # two at most
+    paired = ranked.join(near, ["host", "at"]).select("host", "mark", "path", "keys", "others")
 
     def difference(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, deleted = [], []
-        for path, rest, others in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            usable = [o for o in others or [] if o["rest"] != rest]
-            best = max(usable, key=lambda o: common_prefix(path, o["path"]), default=None)
-            gone = common_lines(rest, best["rest"]) if best and rest else set()
-            texts.append("\n".join(line for i, line in enumerate(rest) if i not in gone))
-            deleted.append(len(gone))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(deleted, pa.int64())], names=["id", "url", "text", "deleted"])
-
-    rest = map_batches(paired, difference, f"id {id_type}, url string, text string, deleted bigint")
-    return done.union(rest).withColumnsRenamed({"id": id_col, "url": url_col, "deleted": "n_lines_deleted"})
+        shared = []
+        for path, own, others in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            best = max(others, key=lambda o: (common_prefix(path, o["path"]), -o["side"]))
+            gone = common_lines(own, best["keys"])
+            shared.append([i in gone for i in range(len(own))])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.list_(pa.bool_()))], names=["host", "mark", "shared"])
+
+    shared = map_batches(paired, difference, "host string, mark bigint, shared array<boolean>")
+    stays = lambda line, i: (F.get("kinds", i) == KEPT) | (F.get("kinds", i) == COMPARED) & ~F.coalesce(F.get("shared", i), F.lit(False))
+    whole = parsed.join(shared, ["host", "mark"], "left").select("id", "url", "lines", F.filter("lines", stays).alias("left"))
+    return whole.select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("left", "\n").alias("text"),
+        (F.size("lines") - F.size("left")).cast("bigint").alias("n_lines_deleted"),
+    )

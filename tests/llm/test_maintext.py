@@ -64,6 +64,15 @@ def test_shared_lines_go(spark):
     assert m.extract(pages.where("false")).count() == 0
 
 
+def test_copies_get_one_text(spark):
+    page = lambda body: f"<div>Site name</div><p>{body}</p><div>Contact us</div>"
+    rows = [(i, f"http://h.example/b/{i // 2}", page("copied text")) for i in range(9)] + [(20, "http://h.example/c", page("another"))]
+    rows += [(21, "http://h.example/b/1", ""), (22, "http://h.example/b/2", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r.page_id: (r.text, r.n_lines_deleted) for r in m.extract(pages).collect()}
+    assert out == {i: ("copied text", 2) for i in range(9)} | {20: ("another", 2), 21: ("", 0), 22: ("", 0)}
+
+
 def test_query(spark, sf_dir):
     """Against the articles cut out by patterns that suit these pages only."""
     from crawlframe.llm.queries import QUERIES
