@@ -3,11 +3,12 @@
 A page's html becomes lines, one for each block, with references decoded and white space made single blanks.
 Parts that the markup itself marks as other than content (menus, headers, footers, asides, adverts, forms, comments,
 scripts and so on, by element, role, class or id) give no lines; a form, role, class or id does not hide an element with
-an article in it or, on a page without articles, over half of the page's text. Lines within ``article`` or ``main`` are
-content. Of the other lines, those are deleted that the page shares with its neighbour: within each host pages are ordered
-by path, each is paired with the neighbour of the longer common path, their lines are aligned by a
-longest common subsequence, and the lines of the subsequence go. Copies (pages of a host with the same lines)
-are paired as one page, at the least of their paths, and get the same text. If a page has an article, only the article is returned.
+an article in it or, on a page without articles, over half of the page's text. Every page, with an article or without, is compared with its
+neighbour: within each host pages are ordered by path, the neighbours are the two pages before and the two after, and the page is
+paired with that of the longest common path that shares a line with it. Their lines are aligned by a
+longest common subsequence, and the lines of the subsequence go, but for those within ``article`` or ``main``, which are content.
+On a page with an article, single short words outside of it that are no headings go as well. Copies (pages of a host with the same
+lines) are paired as one page, at the least of their paths, and get the same text.
 
 Neighbours come from ranks within the host found by pieces, so a host that holds a third of all pages is worked
 on by many tasks; only 64-bit hashes of lines are sent to a neighbour.
@@ -59,6 +60,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DEPTH = 16
 #: What becomes of a line: it stays, goes if the neighbour has it, or goes.
 KEPT, COMPARED, DROPPED = range(3)
+#: Single words shorter than this are no content outside of a page's article.
+STRAY = 20
+#: Places of the neighbours that a page may be compared with.
+SIDES = (-2, -1, 1, 2)
 
 
 class Lines(HTMLParser):
@@ -220,7 +225,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
             found = parsed_lines(html.as_py() or "")
             article = any(inside for _, inside, _ in found)
             lines.append([line for line, _, _ in found])
-            kinds.append([KEPT if inside else DROPPED if article else COMPARED for line, inside, heading in found])
+            stray = lambda line, heading: article and not heading and len(line) < STRAY and " " not in line
+            kinds.append([KEPT if inside else DROPPED if stray(line, heading) else COMPARED for line, inside, heading in found])
             keys.append(np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines[-1]], np.uint64).view(np.int64))
             marks.append(xxhash.xxh64_intdigest(keys[-1].tobytes()))
         columns = [pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))]
@@ -238,22 +244,22 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
         "path": F.regexp_replace(url, r"^[A-Za-z][\w+.-]*://[^/?#]*", ""),
     })
     # Copies on a host are one row, so that neighbours always differ; ranked by path within their host.
-    compared = parsed.where(F.array_contains("kinds", F.lit(COMPARED).cast("tinyint")))
+    compared = parsed.where(F.size("keys") > 0)
     folded = stored(compared.groupBy("host", "mark").agg(F.min("path").alias("path"), F.first("keys").alias("keys")), "lists")
     splits = [F.substring("path", 1, 6), F.col("path"), F.shiftright("mark", 48)]
     ranked = split_rank(folded, ["host"], ["path", "mark"], splits, name="at")
-    sent = F.explode(F.array(*[F.lit(i) for i in (-1, 1)])).alias("side")
+    sent = F.explode(F.array(*[F.lit(i) for i in SIDES])).alias("side")
     near = ranked.select("host", "at", "path", "keys", sent).select(
         "host", (F.col("at") + F.col("side")).alias("at"), F.struct("side", "path", "keys").alias("other")
     )
-    near = near.groupBy("host", "at").agg(F.collect_list("other").alias("others"))  # two at most
+    near = near.groupBy("host", "at").agg(F.collect_list("other").alias("others"))  # four at most
     paired = ranked.join(near, ["host", "at"]).select("host", "mark", "path", "keys", "others")
 
     def difference(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared = []
         for path, own, others in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            best = max(others, key=lambda o: (common_prefix(path, o["path"]), -o["side"]))
-            gone = common_lines(own, best["keys"])
+            nearest = sorted(others, key=lambda o: (-common_prefix(path, o["path"]), abs(o["side"]), o["side"]))
+            gone = next(filter(None, (common_lines(own, o["keys"]) for o in nearest)), set())
             shared.append([i in gone for i in range(len(own))])
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.list_(pa.bool_()))], names=["host", "mark", "shared"])
 

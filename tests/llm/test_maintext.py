@@ -73,6 +73,17 @@ def test_copies_get_one_text(spark):
     assert out == {i: ("copied text", 2) for i in range(9)} | {20: ("another", 2), 21: ("", 0), 22: ("", 0)}
 
 
+def test_pages_with_articles_are_compared(spark):
+    def page(i):
+        lead = f"<div>The site of all news</div><h1>Headline{i}</h1><p>Lead of page {i}</p>"
+        return f"{lead}<article><p>Shared paragraph</p><p>Own {i}</p></article><div>First post of {i}</div><div>Contact us here</div>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(9, "http://solo.example/", page(9))]
+    out = {r.page_id: (r.text, r.n_lines_deleted) for r in m.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    own = "Headline{0}\nLead of page {0}\nShared paragraph\nOwn {0}\nFirst post of {0}"
+    assert out == {i: (own.format(i), 2) for i in range(6)} | {9: (f"The site of all news\n{own.format(9)}\nContact us here", 0)}
+
+
 def test_query(spark, sf_dir):
     """Against the articles cut out by patterns that suit these pages only."""
     from crawlframe.llm.queries import QUERIES
