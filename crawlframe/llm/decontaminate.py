@@ -241,7 +241,10 @@ def leaks(
     return found.withColumnsRenamed({"_id": id_col, "_item": item_col})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that hold a leaked item."""
-    bad = leaks(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_leaked")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_leaked"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that hold a leaked item; documents are named by id and hash of their text."""
+    name = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("_name")
+    found = leaks(docs.select(name, text_col), benchmark, "_name", text_col, **how)
+    bad = found.select(F.col("_name.id").alias("_leaked"), F.col("_name.text").alias("_leaked_text")).distinct()
+    same = docs[id_col].eqNullSafe(bad["_leaked"]) & (F.xxhash64(docs[text_col]) == bad["_leaked_text"])
+    return docs.join(bad, same, "left_anti")

@@ -145,9 +145,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Of repeated rows with that id one stays. Documents without id stand for one document;
-    it stays only if it links to none with an id.
+    Documents are named by id and hash of their text, so that rows without id and different texts under one
+    id are apart; rows without id come after those with one, and of equal names one row stays.
     """
-    rows = near_duplicates(docs, id_col, text_col, **how)
-    kept = rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    name = lambda: F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    rows = near_duplicates(docs.select(name().alias("_name"), text_col), "_name", text_col, **how)
+    kept = rows.select(F.col("component_id.id").alias("_kept"), F.col("component_id.text").alias("_kept_text")).distinct()
+    named = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_text"))
+    return named.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -80,3 +80,12 @@ def test_query_equals_search(spark):
         want |= {(r.doc_id, i) for i, w in items.items() if f" {' '.join(w)} " in body}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op2_benchmark_decontamination"](spark, sf).collect()}
     assert got == want and want
+
+
+def test_clean_without_ids(spark):
+    item = "which river flows through the old town of the seven bridges? the long green river"
+    rows = [(None, f"so {item} it was"), (None, "a clean text"), (None, None), (4, f"and {item}"), (4, "another clean text"), (5, "a third")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = sorted(d.clean(docs, items).collect(), key=str)
+    assert {tuple(r) for r in kept} == {rows[1], rows[2], rows[4], rows[5]} and len(kept) == 4

@@ -91,3 +91,13 @@ def test_query_equals_brute_force(spark, sf_dir):
     groups = plain_components(fps)
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op8_simhash_near_dedup"](spark, sf_dir).collect()}
     assert got == {(i, f"{fps[i]:016x}", groups[i]) for i in fps}
+
+
+def test_representatives_without_ids(spark):
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 9) for _ in range(60)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:9]] + [(1, texts[9]), (None, texts[9]), (2, texts[10]), (2, texts[11]), (0, texts[11])]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string")
+    kept = sorted((r.text, r.doc_id) for r in simhash.representatives(docs).collect() if r)
+    want = [(t, None) for t in texts[:6]] + [(t, 7) for t in texts[6:9]] + [(texts[9], 1), (texts[10], 2), (texts[11], 0)]
+    assert kept == sorted(want)
