@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import chat, decontaminate, langid, maintext, pieces, quality, repeats, sharding, simhash, warc
+from crawlframe.llm import chat, decontaminate, langid, maintext, pieces, prefix_trie, quality, repeats, sharding, simhash, warc
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
@@ -120,3 +120,8 @@ def op9_sentencepiece(spark, sf_dir):
 def op10_sharding(spark, sf_dir):
     rows = sharding.assign(table(spark, sf_dir, "documents"))
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query()
+def op13_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
