@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import chat, decontaminate, langid, maintext, pieces, prefix_trie, quality, repeats, sharding, simhash, warc
+from crawlframe.llm import alignment, chat, decontaminate, langid, maintext, pieces, prefix_trie, quality, repeats, sharding, simhash, warc
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,8 @@ def op10_sharding(spark, sf_dir):
 @query()
 def op13_conversation_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
