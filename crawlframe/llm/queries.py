@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlframe.llm import alignment, chat, decontaminate, langid, maintext, pieces, prefix_trie, quality, repeats, sharding, simhash, warc
+from crawlframe.llm import alignment, chat, decontaminate, langid, maintext, pieces, prefix_trie, quality, repeats, secrets, sharding, simhash, warc
 from crawlframe.llm.common import table
 
 #: Where the public model file lies; a parameter of the operators.
@@ -131,3 +131,8 @@ def op13_conversation_prefix_trie(spark, sf_dir):
 @query()
 def op12_cross_tokenizer_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
+@query()
+def op11_secret_scans(spark, sf_dir):
+    return secrets.find(table(spark, sf_dir, "documents"))
