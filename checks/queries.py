@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sql import ROUND_LANG, SUFFIX_PATTERN, encoded, path_of, site_of, sql
+from checks.sql import ROUND_LANG, SUFFIX_PATTERN, encoded, path_of, robots_chain_sql, site_of, sql
 from checks.views import SITE, table, view
 from crawlframe.config import CrawlConfig
 from crawlframe.functions import headers, markup, urls
@@ -351,6 +351,16 @@ def robots_outcome(spark, sf):
     return robots.robots_outcome(view(spark, sf, "robots_log_v"), CONFIG.agent)
 
 
+@query(robots_chain_sql("SELECT site, status, location, hops, looped, body FROM robots_log_v", "robots_log_v"))
+def robots_chains(spark, sf):
+    return robots.robots_chains(view(spark, sf, "robots_fetches_v"))
+
+
+@query(robots_chain_sql("SELECT site, outcome, wait_s, reconnect FROM outcome", "outcome"))
+def robots_chain_outcome(spark, sf):
+    return robots.robots_outcome(robots.robots_chains(view(spark, sf, "robots_fetches_v")), CONFIG.agent)
+
+
 @query(sql(
     "SELECT a.site, a.location AS robots_uri, b.body FROM robots_log_v a JOIN robots_log_v b ON a.location = b.uri "
     "WHERE a.status // 100 = 3 AND b.status = 200 AND a.site <> b.site", "robots_log_v"))

@@ -200,3 +200,37 @@ def sql(final: str, *reads: str) -> str:
     texts = [f"{n} AS ({view_sql(n) if n in VIEWS else PARTS[n][1]})" for n in order]
     head = "WITH RECURSIVE " if "RECURSE" in final else "WITH "
     return (head + ",\n".join(texts) + "\n" if texts else "") + final.replace("/*RECURSE*/", "")
+
+
+# Each site's robots.txt chain through the fetch log: redirects resolved, an as-of join to the next answer for
+# the target, a hop per step of the recursion.
+ROBOTS_CHAINS = """
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS id, * FROM robots_fetches_v),
+m AS (SELECT id, uri, ts, CASE WHEN location LIKE '%://%' THEN location
+                               ELSE regexp_extract(uri, '^([a-z]+://[^/]+)', 1) || location END AS target
+      FROM f WHERE status BETWEEN 300 AND 399 AND location IS NOT NULL),
+l AS (SELECT m.id, m.target, regexp_extract(m.uri, '^[a-z]+://([^/]+)', 1) <> regexp_extract(m.target, '^[a-z]+://([^/]+)', 1)
+             AS away, n.id AS next_id FROM m ASOF LEFT JOIN f n ON m.target = n.uri AND m.ts <= n.ts),
+st AS (SELECT site, arg_min(id, ts) AS cur FROM f WHERE uri = site || 'robots.txt' GROUP BY site),
+c(site, cur, seen, hops) AS (
+  SELECT site, cur, [site || 'robots.txt'], 0 FROM st
+  UNION ALL
+  SELECT c.site, l.next_id, list_append(c.seen, l.target), c.hops + 1 FROM c JOIN l ON l.id = c.cur
+  WHERE NOT l.away AND NOT list_contains(c.seen, l.target) AND c.hops + 1 <= 10 AND l.next_id IS NOT NULL),
+e AS (SELECT c.*, l.target, coalesce(l.away, false) AS away, l.next_id,
+             coalesce(NOT l.away AND list_contains(c.seen, l.target), false) AS looped
+      FROM c LEFT JOIN l ON l.id = c.cur
+      WHERE NOT coalesce(NOT l.away AND NOT list_contains(c.seen, l.target) AND c.hops + 1 <= 10 AND l.next_id IS NOT NULL, false))
+SELECT e.site, o.uri, CASE WHEN e.away AND t.status = 200 THEN 200 ELSE o.status END AS status,
+       CASE WHEN e.away AND coalesce(t.status, 0) <> 200 THEN NULL ELSE o.location END AS location,
+       CAST(CASE WHEN e.target IS NOT NULL THEN e.hops + 1 ELSE e.hops END AS INTEGER) AS hops, e.looped,
+       CASE WHEN e.away THEN CASE WHEN t.status = 200 THEN t.body END ELSE o.body END AS body
+FROM e JOIN f o ON o.id = e.cur LEFT JOIN f t ON t.id = e.next_id"""
+
+
+def robots_chain_sql(final: str, *reads: str) -> str:
+    """``final`` over parts that read the chains' answers in place of the plain robots log."""
+    plain = f"robots_log_v AS ({view_sql('robots_log_v')})"
+    text = sql(final, *reads)
+    chained = f"robots_fetches_v AS ({view_sql('robots_fetches_v')}),\nrobots_log_v AS ({ROBOTS_CHAINS})"
+    return text.replace(plain, chained) if plain in text else text

@@ -53,6 +53,33 @@ FROM (SELECT DISTINCT {SITE} AS site FROM {{pages}}) s
 JOIN (SELECT regexp_extract(site, '([a-z]+)/$', 1) AS tld, min(site) AS site
       FROM (SELECT {SITE} AS site FROM {{pages}}) p
       WHERE length(site) % 11 IN (0, 1, 2, 3, 10) GROUP BY 1) f
+  ON regexp_extract(s.site, '([a-z]+)/$', 1) = f.tld""",
+    # A fetch log of robots.txt: chains of 0 to 12 redirects within a site, loops back to the start, redirects
+    # to another site's robots.txt, chains whose last answer has not come yet; stale (v = 1) and later (v = 2)
+    # answers for each target beside the one a redirect leads to.
+    "robots_fetches_v": f"""
+SELECT s.site,
+       concat(s.site, CASE WHEN n.k = 0 THEN '' ELSE concat('r', CAST(n.k AS STRING), '/') END, 'robots.txt') AS uri,
+       CASE v.v WHEN 0 THEN CASE WHEN n.k = 0 AND s.away THEN 990 ELSE 1000 + 10 * n.k + length(s.site) % 3 END WHEN 1 THEN 985 + 10 * n.k ELSE 1500 + 10 * n.k END AS ts,
+       CASE WHEN v.v = 1 THEN 500 WHEN v.v = 2 THEN 404 WHEN n.k < s.h THEN 301 + n.k % 2 WHEN length(s.site) % 7 = 0 THEN 404
+            WHEN length(s.site) % 7 = 1 THEN 503 WHEN length(s.site) % 7 = 2 THEN 418 ELSE 200 END AS status,
+       CASE WHEN v.v > 0 THEN NULL WHEN n.k = 0 AND s.away THEN concat(f.site, 'robots.txt')
+            WHEN n.k = s.h - 1 AND s.loop THEN '/robots.txt'
+            WHEN n.k < s.h THEN concat('/r', CAST(n.k + 1 AS STRING), '/robots.txt') END AS location,
+       CASE WHEN v.v = 0 AND n.k = s.h THEN concat('User-Agent: *', chr(10),
+            CASE length(s.site) % 5 WHEN 0 THEN 'Disallow: /' WHEN 1 THEN 'Disallow: /the'
+                 WHEN 2 THEN concat('Disallow: /', chr(10), 'Allow: /en') ELSE 'Disallow:' END, chr(10),
+            CASE length(s.site) % 4 WHEN 0 THEN 'Crawl-delay: 1' WHEN 1 THEN 'Crawl-delay: 30'
+                 WHEN 2 THEN 'crawl-delay: 300' ELSE 'Sitemap: /map.xml' END, chr(10)) END AS body
+FROM (SELECT site, (ascii(substr(md5(site), 1, 1)) + 3 * ascii(substr(md5(site), 2, 1))) % 13 AS h,
+             ascii(substr(md5(site), 3, 1)) % 5 = 0 AS away, ascii(substr(md5(site), 4, 1)) % 4 = 1 AS loop,
+             ascii(substr(md5(site), 5, 1)) % 5 = 2 AS miss
+      FROM (SELECT DISTINCT {SITE} AS site FROM {{pages}}) d) s
+JOIN (SELECT DISTINCT p_partkey AS k FROM {{part}} WHERE p_partkey BETWEEN 0 AND 12) n ON n.k <= s.h
+JOIN (SELECT DISTINCT p_partkey AS v FROM {{part}} WHERE p_partkey BETWEEN 0 AND 2) v
+  ON v.v = 0 AND NOT (n.k = s.h AND s.miss AND s.h > 0) OR v.v = 1 AND n.k >= 1 OR v.v = 2 AND n.k >= 1 AND n.k < s.h
+JOIN (SELECT regexp_extract(site, '([a-z]+)/$', 1) AS tld, min(site) AS site
+      FROM (SELECT DISTINCT {SITE} AS site FROM {{pages}}) p GROUP BY 1) f
   ON regexp_extract(s.site, '([a-z]+)/$', 1) = f.tld""",
     "redirects_v": """
 SELECT p_partkey AS src, CASE WHEN p_size > 4 THEN (p_partkey * 7 + 3) % (SELECT count(*) FROM {part})

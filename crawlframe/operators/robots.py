@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.functions import urls
+from crawlframe.operators import asof
+from crawlframe.session import stored
 
 # Fixed pattern: the records that matter; anything else leaves groups as they are.
 _RECORD = r"(?i)^\s*(user-agent|allow|disallow|crawl-delay)\s*:"
@@ -208,3 +210,73 @@ def robots_cross_domain(robots_log: DataFrame) -> DataFrame:
     away = hops.filter(urls.address("uri") != urls.address("robots_uri")).select("site", "robots_uri")
     found = robots_log.filter("status = 200").groupBy(F.col("uri").alias("robots_uri")).agg(F.min("body").alias("body"))
     return away.join(found, "robots_uri").select("site", "robots_uri", "body")
+
+
+def robots_chains(fetches: DataFrame, max_hops: int = 10, stretch_s: int = asof.STRETCH_S) -> DataFrame:
+    """Each site's robots.txt answer after following its redirects through a fetch log.
+
+    Input: (site, uri, ts, status, location, body), a row per response, in any order. Output: (site, status,
+    location, hops, looped, body), the input of ``robots_outcome``. A site's chain starts at its first
+    response for ``<site>robots.txt``; a redirect (3xx with a location) is resolved against its URI and
+    followed to the first response for its target at or after its own time (an as-of join). The chain ends at
+    a response that is no redirect; at a redirect whose target it has seen (``looped``); at redirect
+    ``max_hops + 1`` (``hops`` above ``max_hops``); at a redirect with no later response for its target yet
+    (``follow``); or at a redirect to another authority, where the rules found there apply to the first site:
+    the target's next response, if it is a 200, gives status 200 and its body, else the location is dropped
+    (``skip``). ``hops`` counts the redirects taken and the one that ends the chain.
+
+    Chains are followed a hop per round for all sites at once, over the redirects only; each round's
+    sites are one row each, and the rounds are bounded by ``max_hops``. Sites with no robots.txt response
+    have no row.
+    """
+    rows = stored(
+        fetches.select("site", "uri", "ts", "status", "location", "body").withColumn("id", F.monotonically_increasing_id()),
+        "robots-fetches",
+    )
+    moved = rows.where(F.col("status").between(300, 399) & F.col("location").isNotNull()).select(
+        "id", "uri", "ts", F.array("location").alias("_hrefs")
+    )
+    moved = moved.select("id", "uri", "ts", F.element_at(urls.resolved("uri", "_hrefs"), 1)["url"].alias("target"))
+    moved = moved.withColumn("away", urls.address("uri") != urls.address("target"))
+    found = asof.asof_next(
+        rows.select("id", F.col("uri").alias("key"), "ts"),
+        moved.where(F.col("target").isNotNull()).select(F.col("id").alias("pid"), F.col("target").alias("key"), "ts"),
+        stretch_s,
+    )
+    links = stored(moved.join(found, moved.id == found.pid, "left").select("id", "target", "away", "next_id"), "robots-links")
+    first = rows.where(F.col("uri") == F.concat("site", F.lit("robots.txt"))).groupBy("site").agg(
+        F.min(F.struct("ts", "id"))["id"].alias("cur")
+    )
+    state = first.select("site", "cur", F.array(F.concat("site", F.lit("robots.txt"))).alias("seen"), F.lit(0).alias("hops"))
+    ends = [state.where(F.lit(False)).select(
+        "site", "cur", "hops", F.lit(False).alias("looped"), F.lit(False).alias("away"), F.lit(None).cast("long").alias("next_id")
+    )]
+    for _ in range(max_hops + 1):
+        if state.isEmpty():
+            break
+        step = state.join(links, state.cur == links.id, "left").drop("id")
+        moving = F.col("target").isNotNull() & ~F.col("away")
+        looped = moving & F.array_contains("seen", F.col("target"))
+        go = moving & ~looped & (F.col("hops") + 1 <= max_hops) & F.col("next_id").isNotNull()
+        step = stored(step.withColumn("looped", F.coalesce(looped, F.lit(False))).withColumn("go", F.coalesce(go, F.lit(False))), "robots-step")
+        ends.append(step.where(~F.col("go")).select(
+            "site", "cur", F.when(F.col("target").isNotNull(), F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
+            "looped", F.coalesce("away", F.lit(False)).alias("away"), "next_id",
+        ))
+        state = step.where("go").select("site", F.col("next_id").alias("cur"), F.array_append("seen", F.col("target")).alias("seen"),
+                                        (F.col("hops") + 1).alias("hops"))
+    ended = ends[0]
+    for part in ends[1:]:
+        ended = ended.unionByName(part)
+    own = rows.select(F.col("id").alias("cur"), "status", "location", "body")
+    there = rows.select(F.col("id").alias("next_id"), F.col("status").alias("t_status"), F.col("body").alias("t_body"))
+    out = ended.join(own, "cur").join(there, "next_id", "left")
+    granted = F.col("away") & (F.col("t_status") == 200)
+    return out.select(
+        "site",
+        F.when(granted, F.lit(200)).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("away") & ~F.coalesce(granted, F.lit(False)), F.lit(None)).otherwise(F.col("location")).alias("location"),
+        F.col("hops").cast("int").alias("hops"),
+        "looped",
+        F.when(F.col("away"), F.when(granted, F.col("t_body"))).otherwise(F.col("body")).alias("body"),
+    )
