@@ -698,5 +698,18 @@ def crawl_round_(spark, sf):
     return result.schedule.select("site", "uri", "rn", "wait_s")
 
 
+@query(robots_chain_sql(
+    "SELECT q.site, q.uri, CAST(row_number() OVER (PARTITION BY q.site ORDER BY md5(q.uri), q.uri) AS BIGINT) AS rn, "
+    "o.wait_s FROM r_queue q JOIN outcome o ON q.site = o.site", "r_queue", "outcome"))
+def crawl_round_chained(spark, sf):
+    """A round whose robots answers come from the fetch log's redirect chains."""
+    fetched = page_table(spark, sf).select(urls.site_key("url").alias("site"), urls.strip_fragment("url").alias("uri"))
+    answers = robots.robots_chains(view(spark, sf, "robots_fetches_v"))
+    result = crawl.crawl_round(
+        page_bodies(spark, sf), markup.page_lang(F.col("html")), answers, fetched,
+        waiting(spark, sf), stored(active(spark, sf), "active"), stored(weights(spark, sf), "weights"), CONFIG)
+    return result.schedule.select("site", "uri", "rn", "wait_s")
+
+
 QUERIES = {name.rstrip("_"): build for name, build in QUERIES.items()}
 ORACLES = {name.rstrip("_"): text for name, text in ORACLES.items()}
