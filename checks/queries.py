@@ -17,7 +17,7 @@ from crawlframe.plans import crawl
 from crawlframe.session import configure, spread, stored, work_path
 from crawlframe.sinks.writers import write_html_archive, write_uri_log
 from crawlframe.sources import readers
-from crawlframe.streaming import jobs
+from crawlframe.streaming import jobs, sites
 
 CONFIG = CrawlConfig(target_lang=ROUND_LANG, concurrency=25)
 LANGUAGES = ("de", "en", "es", "fr")
@@ -668,6 +668,42 @@ def stream_site_state(spark, sf):
     return jobs.run_to_table(state, "site-state", "complete")
 
 
+_RUNS = (
+    "WITH r AS (SELECT *, sum(brk) OVER (PARTITION BY site ORDER BY us, event_id) AS run FROM (SELECT *, CASE WHEN us - "
+    "lag(us) OVER (PARTITION BY site ORDER BY us, event_id) > 36000000000 THEN 1 ELSE 0 END AS brk FROM (SELECT *, "
+    "epoch_us(ts) // 1000 * 1000 AS us, uri LIKE '%/robots.txt' AS robots, CASE WHEN status BETWEEN 300 AND 399 AND location IS "
+    "NOT NULL THEN regexp_extract(uri, '^([a-z]+://[^/]+)', 1) || location END AS target FROM fetch_log_v))), "
+    "a AS (SELECT site, run, target AS uri, max(us) AS asked FROM r WHERE target IS NOT NULL GROUP BY ALL), "
+    "g AS (SELECT site, run, uri, max(us) AS got FROM r GROUP BY ALL), "
+    "w AS (SELECT a.site, a.run, count(*) AS waiting FROM a LEFT JOIN g USING (site, run, uri) WHERE g.got IS NULL OR "
+    "g.got < a.asked GROUP BY ALL), "
+    "s AS (SELECT site, run, min(us) AS first_us, max(us) AS last_us, count(*) AS requests, count_if(NOT robots) AS pages, "
+    "count_if(robots AND ((status NOT IN (200, 400, 403, 404, 500) AND NOT status BETWEEN 300 AND 399) OR (status "
+    "BETWEEN 300 AND 399 AND location IS NULL))) AS refused FROM r GROUP BY site, run) "
+    "SELECT s.site, first_us, last_us, requests, coalesce(waiting, 0) AS waiting, CASE WHEN refused > 0 THEN 'skipped' "
+    "WHEN pages = 0 THEN 'robots' WHEN coalesce(waiting, 0) = 0 THEN 'completed' ELSE 'stalled' END AS state "
+    "FROM s LEFT JOIN w USING (site, run)"
+)
+
+
+@query(sql(f"SELECT * FROM ({_RUNS})", "fetch_log_v"))
+def stream_site_runs(spark, sf):
+    """Runs of each site with a timer each, in append mode; a last request far ahead closes the stream."""
+    folder = work_path(spark, "fetch-log")
+    log = view(spark, sf, "fetch_log_v")
+    log.write.parquet(folder)
+    end = spark.createDataFrame([(None, None, None)], "site string, uri string, status int").select(
+        F.lit(None).cast(log.schema["event_id"].dataType).alias("event_id"), F.lit("9999-01-01").cast("timestamp").alias("ts"),
+        "site", "uri", "status", F.lit(None).cast("string").alias("location"), F.lit(None).cast("bigint").alias("bytes"),
+    ).select(*log.columns)
+    # Timers fire in the batch after the one that moved the watermark: a second last request makes that batch.
+    end.coalesce(1).write.mode("append").parquet(folder)
+    end.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # The log's files are in no order of time: the allowed lateness spans all of it.
+    return jobs.run_to_table(sites.stream_site_runs(stream, idle_s=36000, late="36500 days"), "site-runs")
+
+
 # A whole round
 
 
