@@ -12,10 +12,11 @@ from hypothesis import strategies as st
 from crawlframe.llm import alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def tools():
-    return alignment.loaded(open(A, encoding="utf-8").read(), open(B, "rb").read())
+def tools(ranks=None):
+    return alignment.loaded(open(A, encoding="utf-8").read(), open(B, "rb").read(), ranks and open(ranks, "rb").read())
 
 
 @settings(max_examples=200, deadline=None)
@@ -37,7 +38,8 @@ def test_groups_and_links_by_definition(a_sizes, data):
 
 
 def brute(texts):
-    a, b, a_bytes, b_bytes, _ = tools()
+    t = tools()
+    a, b, a_bytes, b_bytes = t.a, t.b, t.a_bytes, t.b_bytes
     per = []
     for t in texts:
         if not t:
@@ -91,6 +93,7 @@ def test_documents_against_brute_force(spark):
     rows = [(i if i % 17 else None, t, "extra") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_a string")
     got = alignment.align(docs, A, B).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, alignment.align(docs, A, B, a_ranks_path=RANKS).collect()))
     assert len(got) == len(rows)
     by = {}
     for r in got:
@@ -111,3 +114,13 @@ def test_long_text(spark, n):
     text = "word " * n + "end"
     got = alignment.align(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), A, B).first()
     assert got.n_a > n and got.n_groups > 0 and got.n_links == got.n_a + got.n_b - got.n_groups
+
+
+def test_ranks_give_the_json_ids():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+    texts += ["<|endoftext|> x", "a\n\n b", "   ", "don't", "🙂é東京", "\t\x0b\r\n", "x" * 5000]
+    slow, fast = tools(), tools(RANKS)
+    wanted = [e.ids for e in slow.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert fast.a_ids([" " + t for t in texts]) == wanted
