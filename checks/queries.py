@@ -11,7 +11,7 @@ from checks.sql import ROUND_LANG, SUFFIX_PATTERN, encoded, path_of, robots_chai
 from checks.views import SITE, table, view
 from crawlframe.config import CrawlConfig
 from crawlframe.functions import headers, markup, urls
-from crawlframe.operators import fetchlog, frontier, graph, language, pages, robots
+from crawlframe.operators import fetchlog, frontier, graph, language, pages, robots, sieve
 from crawlframe.operators.archive import byte_batches
 from crawlframe.plans import crawl
 from crawlframe.session import configure, spread, stored, work_path
@@ -397,6 +397,15 @@ def drop_viewed_uri(spark, sf):
     return frontier.drop_viewed(_candidates(spark, sf), _handled(spark, sf), key="uri")
 
 
+@query(ORACLES["drop_viewed"])
+def drop_viewed_sieved(spark, sf):
+    """``drop_viewed`` behind a blocked Bloom filter of the handled paths; only its hits are checked exactly."""
+    handled = stored(_handled(spark, sf), "handled")
+    blocks = sieve.blocks_for(handled.count())
+    filters = stored(sieve.build(handled, blocks), "sieve")
+    return sieve.sieve(_candidates(spark, sf), filters, handled, blocks).select("site", "uri")
+
+
 def _fresh(spark, sf):
     """Links, the pages' own URLs, and every site's root."""
     known = everything(spark, sf)
