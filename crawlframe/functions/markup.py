@@ -27,13 +27,17 @@ _META_CHARSET = re.compile(rb"(?is)<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0
 _XML_CHARSET = re.compile(rb"(?is)^\s*<\?xml\b[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9_\-:]+)")
 
 
+#: Parts literal lists; it is in none of their texts.
+_CUT = "\uffff"
+
 # One character reference, or what lies between two.
 _REFERENCE = r"(?s)&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def _code_point(part: Column, base: int) -> Column:
     """The text of a numeric reference, by the rules of HTML for numbers that are no characters."""
-    low = F.array(*[F.lit(html.unescape(f"&#{n};")) for n in range(160)])
+    # One literal, cut into its 160 texts: building an array of 160 literals costs a call into the JVM each.
+    low = F.split(F.lit(_CUT.join(html.unescape(f"&#{n};") for n in range(160))), _CUT)
     digits = F.regexp_replace(part, "^&#[xX]?0*|;$", "")
     n = F.when(F.length(digits).between(1, 7), F.conv(digits, base, 10).cast("bigint"))
     lost = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
@@ -45,7 +49,9 @@ def _code_point(part: Column, base: int) -> Column:
 def unescape_basic(text: Column) -> Column:
     """Undo numeric references and those named in HTML 4 in one pass; texts without ``&`` skip the work."""
     known = sorted((name2codepoint | {"apos": 39}).items())
-    names = F.create_map(*[F.lit(x) for name, n in known for x in (name, chr(n))])
+    names = F.map_from_arrays(
+        F.split(F.lit(_CUT.join(name for name, _ in known)), _CUT), F.split(F.lit(_CUT.join(chr(n) for _, n in known)), _CUT)
+    )
 
     def plain(part: Column) -> Column:
         named = F.try_element_at(names, F.substring(part, F.lit(2), F.length(part) - 2))
