@@ -490,6 +490,15 @@ def throughput_report(spark, sf):
     return fetchlog.throughput_report(view(spark, sf, "fetch_log_v").filter("status = 200"))
 
 
+@query(sql(
+    "SELECT s.i * 5000000 AS start_us, coalesce(c.docs, 0) AS docs, coalesce(c.bytes, 0) AS bytes FROM "
+    "(SELECT unnest(range(min(i), max(i) + 1)) AS i FROM (SELECT epoch_us(ts) // 5000000 AS i FROM fetch_log_v "
+    "WHERE status = 200)) s LEFT JOIN (SELECT epoch_us(ts) // 5000000 AS i, count(*) AS docs, CAST(coalesce(sum(bytes), 0) "
+    "AS BIGINT) AS bytes FROM fetch_log_v WHERE status = 200 GROUP BY 1) c ON c.i = s.i", "fetch_log_v"))
+def throughput_filled(spark, sf):
+    return fetchlog.throughput_filled(view(spark, sf, "fetch_log_v").filter("status = 200"), every_s=5)
+
+
 @query(sql(f"SELECT DISTINCT site, {path_of('uri')} AS path FROM fetch_log_v", "fetch_log_v"))
 def viewed_paths(spark, sf):
     return fetchlog.viewed_paths(view(spark, sf, "fetch_log_v"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import urls
 from crawlframe.operators.ordered import by_key, split_rank
+from crawlframe.session import stored
 
 
 def status_route(status, location) -> Column:
@@ -44,6 +45,29 @@ def throughput_report(docs: DataFrame, every: str = "5 seconds") -> DataFrame:
     )
 
 
+def throughput_filled(docs: DataFrame, every_s: int = 5) -> DataFrame:
+    """Documents and bytes per interval of (ts, bytes), intervals without documents as zeros.
+
+    Every interval from the first to the last with a document has a row. The intervals come from
+    ``spark.range`` over that span, dealt over partitions like any table, and meet the counts in one
+    aggregation, so neither side is joined and no task holds more than its part of the span.
+    """
+    step = every_s * 1_000_000
+    counted = docs.groupBy(F.floor(F.unix_micros("ts") / step).alias("_i")).agg(
+        F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes")
+    )
+    counted = stored(counted, "throughput")
+    span = counted.agg(F.min("_i").alias("lo"), F.max("_i").alias("hi")).first()
+    if span["lo"] is None:
+        return counted.select((F.col("_i") * step).alias("start_us"), "docs", "bytes")
+    spark = docs.sparkSession
+    every = spark.range(span["lo"], span["hi"] + 1).select(
+        F.col("id").alias("_i"), F.lit(0).cast("bigint").alias("docs"), F.lit(0).cast("bigint").alias("bytes")
+    )
+    filled = counted.unionByName(every).groupBy("_i").agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
+    return filled.select((F.col("_i") * step).cast("bigint").alias("start_us"), "docs", "bytes")
+
+
 def retry_decision(attempts: DataFrame, max_failures: int = 3, piece: str = "hour") -> DataFrame:
     """Add ``failures`` and ``decision`` to attempts (event_id, ts, uri, kind).
 
