@@ -202,3 +202,33 @@ def politeness_schedule(
     jitter = drawn % jitter_ms if jitter_ms else F.lit(0).cast("bigint")
     slot = step + max(jitter_ms - 1, 0)
     return ranked.withColumn("offset_ms", (F.col("rn") - 1) * slot + jitter)
+
+
+def clocked_schedule(
+    fetches: DataFrame,
+    clocks: DataFrame,
+    round_start_ms: int,
+    waits: DataFrame | None = None,
+    default_wait_s: float = 5.0,
+    throttle_s: float = 5.0,
+    jitter_ms: int = 200,
+) -> tuple[DataFrame, DataFrame]:
+    """``politeness_schedule`` on each site's clock: (site, uri, rn, wait_s, at_ms) and the next clocks (site, free_ms).
+
+    A site's clock is the earliest time its next slot may start. This round's slots start at
+    ``max(round_start_ms, free_ms)`` and its clock moves to the end of its last slot: the (max, +) step
+    ``free' = max(ready, free) + n * slot``, carried from round to round one row per site, so the gap between two
+    requests of a site is never below its wait across rounds either. Sites without fetches keep their clock.
+    """
+    plan = politeness_schedule(fetches, waits, default_wait_s, throttle_s, jitter_ms)
+    slot = F.round(F.greatest(F.lit(throttle_s), F.col("wait_s")) * 1000).cast("bigint") + max(jitter_ms - 1, 0)
+    ready = F.lit(round_start_ms).cast("bigint")
+    plan = plan.join(clocks.select("site", "free_ms"), "site", "left").withColumn(
+        "_base", F.greatest(ready, F.coalesce("free_ms", ready))
+    )
+    schedule = plan.select("site", "uri", "rn", "wait_s", (F.col("_base") + F.col("offset_ms")).alias("at_ms"))
+    ends = plan.groupBy("site").agg(F.max(F.col("_base") + F.col("rn") * slot).alias("_free"))
+    moved = clocks.select("site", "free_ms").join(ends, "site", "full_outer").select(
+        "site", F.greatest("free_ms", "_free").alias("free_ms")
+    )
+    return schedule, moved
