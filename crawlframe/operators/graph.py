@@ -87,3 +87,39 @@ def reachable(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None)
         if depth % 8 == 0:
             known = stored(known, "reach")
     return known
+
+
+def update_reach(
+    known: DataFrame, links: DataFrame, new_links: DataFrame | None = None, new_seeds: DataFrame | None = None
+) -> DataFrame:
+    """``known`` (node, depth) brought up to date for added links (src, dst) and seeds (node), semi-naively.
+
+    ``links`` holds all links, the added ones included. Only changes travel: the added seeds at depth 0
+    and the targets of added links from reached sources are candidates; each round keeps the candidates
+    that lower a depth or reach a new node, and sends only those over the links. Depths only fall when
+    links and seeds are added, so the result equals a run of ``reachable`` from all seeds over all links.
+    """
+    spark = known.sparkSession
+    empty = spark.createDataFrame([], "node string, depth bigint").select(
+        F.col("node").cast(known.schema["node"].dataType), "depth"
+    )
+    edges = stored(links.select("src", "dst").distinct(), "edges")
+    known = stored(known.select("node", F.col("depth").cast("bigint")), "reach")
+    cand = empty
+    if new_seeds is not None:
+        cand = cand.unionByName(new_seeds.select("node", F.lit(0).cast("bigint").alias("depth")))
+    if new_links is not None:
+        reached = new_links.select("src", "dst").join(known.select(F.col("node").alias("src"), "depth"), "src")
+        cand = cand.unionByName(reached.select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
+    while True:
+        best = cand.groupBy("node").agg(F.min("depth").alias("depth"))
+        better = best.join(known.select("node", F.col("depth").alias("_old")), "node", "left").where(
+            F.col("_old").isNull() | (F.col("depth") < F.col("_old"))
+        ).select("node", "depth")
+        better = stored(better, "reach-better")
+        if better.isEmpty():
+            return known
+        known = stored(known.join(better.select("node"), "node", "left_anti").unionByName(better), "reach")
+        cand = edges.join(better.select(F.col("node").alias("src"), "depth"), "src").select(
+            F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")
+        )
