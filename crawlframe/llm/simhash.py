@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import map_batches
+from crawlframe.llm.common import map_batches, packed, unpacked
 from crawlframe.session import stored
 
 #: Longest posting list whose pairs are formed (2016 pairs at most).
@@ -151,6 +151,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = lambda: F.struct(F.col(id_col).isNull().alias("bare"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
     rows = near_duplicates(docs.select(name().alias("_name"), text_col), "_name", text_col, **how)
     kept = rows.select(F.col("component_id.id").alias("_kept"), F.col("component_id.text").alias("_kept_text")).distinct()
-    named = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    # Other columns travel in one struct, so none of them can clash with the names used here.
+    named = packed(docs, id_col, text_col).withColumn("_text_hash", F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_text"))
-    return named.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    chosen = named.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"])
+    return unpacked(chosen, docs.columns, **{id_col: F.col(id_col), text_col: F.col(text_col)})

@@ -101,3 +101,15 @@ def test_representatives_without_ids(spark):
     kept = sorted((r.text, r.doc_id) for r in simhash.representatives(docs).collect() if r)
     want = [(t, None) for t in texts[:6]] + [(t, 7) for t in texts[6:9]] + [(texts[9], 1), (texts[10], 2), (texts[11], 0)]
     assert kept == sorted(want)
+
+
+def test_representatives_keep_clashing_columns(spark):
+    from crawlframe.llm import simhash as sh
+
+    text = "the same words again and again in every copy of this text"
+    docs = spark.createDataFrame(
+        [(1, text, 10, 100, "a"), (2, text, 20, 200, "b"), (3, "something else entirely here", 30, 300, "c")],
+        "doc_id bigint, text string, _kept bigint, _text_hash bigint, _row string",
+    )
+    got = sorted(tuple(r) for r in sh.representatives(docs).collect())
+    assert got == [(1, text, 10, 100, "a"), (3, "something else entirely here", 30, 300, "c")]
