@@ -14,6 +14,7 @@ tables are dropped once the next is written.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,8 @@ def _save(df: DataFrame, table: str, buckets: int, *keys: str) -> None:
 
 
 def create(spark: SparkSession, name: str, buckets: int = BUCKETS) -> FrontierStore:
-    """An empty store, version 0."""
-    store = FrontierStore(name, 0, buckets)
+    """An empty store, version 0; its tables are named ``name``, a fresh suffix and the version."""
+    store = FrontierStore(f"{name}_{uuid.uuid4().hex[:12]}", 0, buckets)
     _save(spark.createDataFrame([], "site string, uri string"), store.uris, buckets, "site", "uri")
     _save(spark.createDataFrame([], "site string, pending bigint"), store.counts, buckets, "site")
     return store
@@ -81,3 +82,9 @@ def advance(store: FrontierStore, added: DataFrame, fetched: DataFrame) -> Front
     spark.sql(f"DROP TABLE IF EXISTS {store.uris}")
     spark.sql(f"DROP TABLE IF EXISTS {store.counts}")
     return nxt
+
+
+def drop(spark: SparkSession, store: FrontierStore) -> None:
+    """Delete the store's last version."""
+    spark.sql(f"DROP TABLE IF EXISTS {store.uris}")
+    spark.sql(f"DROP TABLE IF EXISTS {store.counts}")

@@ -23,7 +23,9 @@ def test_ten_rounds(spark):
         for site, _ in waiting:
             want[site] = want.get(site, 0) + 1
         assert counts == want
-    assert not spark.catalog.tableExists(f"frontier_test_uris_{store.version - 1}")
+    assert not spark.catalog.tableExists(f"{store.name}_uris_{store.version - 1}")
+    fs.drop(spark, store)
+    assert not spark.catalog.tableExists(store.uris)
 
 
 def test_old_frontier_is_read_without_exchange(spark):
@@ -33,4 +35,5 @@ def test_old_frontier_is_read_without_exchange(spark):
     old = fs.waiting(spark, store)
     taken = spark.createDataFrame([("a/", "a/1")], "site string, uri string").repartition(store.buckets, "site", "uri")
     plan = old.join(taken, ["site", "uri"], "left_anti")._jdf.queryExecution().sparkPlan().toString()
+    fs.drop(spark, store)
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
