@@ -84,6 +84,8 @@ def op5_suffix_array_dedup(spark, sf_dir):
         (size - kept).alias("n_removed"),
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # The text left, for readers of the text itself; bytes cut inside a character become U+FFFD.
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
