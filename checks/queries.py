@@ -351,6 +351,13 @@ def robots_outcome(spark, sf):
     return robots.robots_outcome(view(spark, sf, "robots_log_v"), CONFIG.agent)
 
 
+@query(ORACLES["robots_allow"])
+def robots_allow_indexed(spark, sf):
+    """``robots_allow`` by a prefix table of the rules."""
+    sets = robots.rule_sets(robots_docs(spark, sf), CONFIG.agent)
+    return robots.robots_decisions_indexed(everything(spark, sf), sets).filter("allowed").drop("allowed")
+
+
 @query(robots_chain_sql("SELECT site, status, location, hops, looped, body FROM robots_log_v", "robots_log_v"))
 def robots_chains(spark, sf):
     return robots.robots_chains(view(spark, sf, "robots_fetches_v"))

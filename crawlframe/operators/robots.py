@@ -280,3 +280,33 @@ def robots_chains(fetches: DataFrame, max_hops: int = 10, stretch_s: int = asof.
         "looped",
         F.when(F.col("away"), F.when(granted, F.col("t_body"))).otherwise(F.col("body")).alias("body"),
     )
+
+
+def robots_decisions_indexed(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``robots_decisions`` by a prefix table: no link is tried against every rule of its site.
+
+    Rules become rows keyed by (site, head): the whole pattern of a literal rule, the part before the
+    first ``*`` of a wildcard rule. Each link is looked up under the prefixes of its path and query, up to
+    its site's longest head; a literal rule found there matches, a wildcard rule found there is tried on the
+    whole target. The longest match decides, allow wins ties, no match allows. The lookups are one join on
+    (site, prefix) with one row per rule on the other side, so a hot site's links are cut by Spark's skew join.
+    """
+    rules = sets.select("site", F.explode("rules").alias("rule")).select(
+        "site", "rule", F.coalesce(F.col("rule.parts")[0], F.col("rule.pattern")).alias("_head")
+    )
+    rules = stored(rules, "robots-rules")
+    longest = rules.groupBy("site").agg(F.max(F.length("_head")).alias("_longest"))
+    target = F.concat(urls.path("uri"), urls.query("uri"))
+    rows = stored(links.withColumn("_lid", F.monotonically_increasing_id()), "robots-links")
+    probes = rows.select("_lid", "site", target.alias("_target")).join(longest, "site")
+    probes = probes.select(
+        "_lid", "site", "_target",
+        F.explode(F.sequence(F.lit(0), F.least(F.length("_target"), F.col("_longest")))).alias("_k"),
+    ).select("_lid", "site", "_target", F.substring("_target", 1, F.col("_k")).alias("_head"))
+    found = probes.join(rules, ["site", "_head"]).where(
+        F.col("rule.parts").isNull() | _fits(F.col("rule"), F.col("_target"))
+    )
+    best = found.groupBy("_lid").agg(F.max(F.struct(F.col("rule.length").alias("length"), F.col("rule.allow").alias("allow"))).alias("_best"))
+    return rows.join(best, "_lid", "left").select(
+        *[F.col(f"`{c}`") for c in links.columns], F.coalesce(F.col("_best.allow"), F.lit(True)).alias("allowed")
+    )
