@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlframe.functions import urls
-from crawlframe.session import stored
+from crawlframe.session import discard, stored
 
 
 def resolve_redirects(edges: DataFrame, max_hops: int = 10, same_authority: bool = False) -> DataFrame:
@@ -119,7 +119,9 @@ def update_reach(
         better = stored(better, "reach-better")
         if better.isEmpty():
             return known
+        before = known
         known = stored(known.join(better.select("node"), "node", "left_anti").unionByName(better), "reach")
+        discard(before)
         cand = edges.join(better.select(F.col("node").alias("src"), "depth"), "src").select(
             F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")
         )

@@ -83,3 +83,14 @@ def spread(source: DataFrame) -> DataFrame:
     One shuffle, whatever the table's size; ask for it where a table lies in few files.
     """
     return source.hint("rebalance")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``stored`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rsplit("/", 1)[0]
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
