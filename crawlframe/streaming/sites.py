@@ -1,12 +1,12 @@
 """Each site's run of activity as state with an event-time timer, appended when the run ends.
 
 A run is what a site did with gaps of at most ``idle`` between its requests. A site's state holds its
-open runs (first and last time, requests, pages, robots refusals) and its queue: each ask for a redirect's
-target and each fetch, by (URI, time). A row joins the open runs within ``idle`` of it, bridging them if it
-falls between two, as a session window does, so the order in which rows arrive does not matter. Each open
-run has a timer at its last request plus ``idle``; when the watermark passes it, the run is put out: a
+open runs (first and last time, requests, pages, robots refusals) and the queue of each: when each URI was last
+asked for as a redirect's target and last fetched. A row joins the open runs within ``idle`` of it, bridging them if it
+falls between two, as a session window does, so the order in which rows arrive does not matter. An open
+run ends when the watermark passes its last request plus ``idle``, and is put out: a
 target waits if it was not fetched in the run since it was last asked for in the run. Its entries leave
-the state.
+the state. State is read and written once for a site's rows of a batch, not for each row.
 
 A run's state: ``skipped`` if robots.txt was refused (a status that forbids a crawl, or a redirect without
 a target), ``robots`` if only robots.txt was asked for, ``completed`` if nothing waits, else ``stalled``:
@@ -20,8 +20,11 @@ Targets are resolved by the URL functions in the JVM ahead of the state, so Pyth
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from crawlframe.functions import urls
 
 OUTPUT = "site string, first_us long, last_us long, requests long, waiting long, state string"
-RUN = "first long, last long, requests long, pages long, refused long"
+#: Before all times.
+NEVER = -(1 << 62)
+#: Most URIs of a run that are kept beside it.
+HELD = 256
 
 
 def prepared(log: DataFrame) -> DataFrame:
@@ -59,66 +65,117 @@ def run_state(first: int, last: int, requests: int, pages: int, refused: int, wa
     return "completed" if waiting == 0 else "stalled"
 
 
+def pieces(frame: pd.DataFrame, idle: int) -> list[list]:
+    """Runs of the rows of one frame: [first, last, requests, pages, refused, parts, entries]."""
+    ms = frame["ms"].to_numpy()
+    order = np.argsort(ms, kind="stable")
+    ms = ms[order]
+    start = np.flatnonzero(np.diff(ms, prepend=ms[0] - idle - 1) > idle)
+    end = np.append(start[1:], len(ms))
+    pages, refused = (np.add.reduceat(frame[c].to_numpy(dtype=np.int64)[order], start).tolist() for c in ("page", "refused"))
+    uris, targets = (frame[c].to_numpy()[order].tolist() for c in ("uri", "target"))
+    times, runs = ms.tolist(), []
+    for n, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        entries: dict[str, list[int]] = {}
+        # In order of time, so the last ask and the last fetch stay.
+        for at, uri, target in zip(times[a:b], uris[a:b], targets[a:b], strict=True):
+            if isinstance(target, str):
+                entries.setdefault(target, [NEVER, NEVER])[0] = at
+            if isinstance(uri, str):
+                entries.setdefault(uri, [NEVER, NEVER])[1] = at
+        runs.append([times[a], times[b - 1], b - a, pages[n], refused[n], [], entries])
+    return runs
+
+
+def latest(a: dict[str, list[int]], b: dict[str, list[int]]) -> dict[str, list[int]]:
+    """The later ask and the later fetch of each URI; the larger of both is changed."""
+    if len(a) < len(b):
+        a, b = b, a
+    for uri, (asked, got) in b.items():
+        have = a.setdefault(uri, [asked, got])
+        have[0], have[1] = max(have[0], asked), max(have[1], got)
+    return a
+
+
+def bridged(runs: list[list], idle: int) -> list[list]:
+    """Runs in order of time; those at most ``idle`` apart become one."""
+    out: list[list] = []
+    for run in sorted(runs, key=itemgetter(0)):
+        if out and run[0] <= out[-1][1] + idle:
+            have = out[-1]
+            have[1] = max(have[1], run[1])
+            have[2:6] = [x + y for x, y in zip(have[2:6], run[2:6], strict=True)]
+            have[6] = latest(have[6], run[6])
+        else:
+            out.append(run)
+    return out
+
+
 class SiteRuns(StatefulProcessor):
-    """Open runs of a site, keyed by their first time; asks and fetches keyed by (URI, time)."""
+    """A site's open runs with their queues in one value, read and written once a batch; long queues are put
+    out to parts, which are read when their run ends. One timer: that of the run which may end first."""
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getMapState("runs", "first long", RUN)
-        self.asked = handle.getMapState("asked", "uri string, ms long", "n long")
-        self.got = handle.getMapState("got", "uri string, ms long", "n long")
-
-    def close_run(self, site: str, run: tuple) -> pd.DataFrame:
-        first, last, requests, pages, refused = run
-        inside = lambda ms: first <= ms <= last
-        asked, got = {}, {}
-        for (uri, ms), _ in self.asked.iterator():
-            if inside(ms):
-                asked[uri] = max(asked.get(uri, ms), ms)
-                self.asked.removeKey((uri, ms))
-        for (uri, ms), _ in self.got.iterator():
-            if inside(ms):
-                got[uri] = max(got.get(uri, ms), ms)
-                self.got.removeKey((uri, ms))
-        self.runs.removeKey((first,))
-        waiting = sum(1 for uri, ms in asked.items() if got.get(uri, -1) < ms)
-        state = run_state(first, last, requests, pages, refused, waiting)
-        return pd.DataFrame({"site": [site], "first_us": [first * 1000], "last_us": [last * 1000], "requests": [requests],
-                             "waiting": [waiting], "state": [state]})
+        self.site = handle.getValueState("site", "open string")
+        self.parts = handle.getMapState("parts", "number long", "entries string")
+
+    def load(self) -> tuple[list[list], int | None, int]:
+        """Open runs, the earliest timer that is set, and the number of the next part."""
+        saved = self.site.get()
+        return json.loads(saved[0]) if saved is not None else ([], None, 0)
+
+    def save(self, runs: list[list], timer: int | None, number: int) -> None:
+        if not runs:
+            self.site.clear()
+            return
+        due = min(run[1] for run in runs) + self.idle + 1
+        # A timer that is set for too early a time finds nothing to do and sets the next.
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.site.update((json.dumps([runs, timer, number]),))
+
+    def waiting(self, run: list) -> int:
+        entries = run[6]
+        for number in run[5]:
+            entries = latest(entries, json.loads(self.parts.getValue((number,))[0]))
+            self.parts.removeKey((number,))
+        return sum(got < asked for asked, got in entries.values())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        site = key[0]
-        batch = pd.concat(list(rows))
-        if site is None:
+        if key[0] is None:
             # Rows without a site move the watermark only (a last request can close a stream).
+            for _ in rows:
+                pass
             return iter(())
-        runs = [tuple(v) for _, v in self.runs.iterator()]
-        for row in batch.itertuples(index=False):
-            near = [r for r in runs if r[0] - self.idle <= row.ms <= r[1] + self.idle]
-            runs = [r for r in runs if r not in near]
-            merged = (row.ms, row.ms, 1, int(row.page), int(row.refused))
-            for r in near:
-                merged = (min(merged[0], r[0]), max(merged[1], r[1]), merged[2] + r[2], merged[3] + r[3], merged[4] + r[4])
-            runs.append(merged)
-            if row.target is not None and not pd.isna(row.target):
-                self.asked.updateValue((row.target, row.ms), (1,))
-            self.got.updateValue((row.uri, row.ms), (1,))
-        self.runs.clear()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        for r in runs:
-            self.runs.updateValue((r[0],), r)
-            self.handle.registerTimer(r[1] + self.idle + 1)
+        runs, timer, number = self.load()
+        for frame in rows:
+            if not len(frame):
+                continue
+            runs = bridged(runs + pieces(frame, self.idle), self.idle)
+            for run in runs:
+                if len(run[6]) > HELD:
+                    self.parts.updateValue((number,), (json.dumps(run[6]),))
+                    run[5], run[6], number = [*run[5], number], {}, number + 1
+        self.save(runs, timer, number)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for _, run in list(self.runs.iterator()):
-            if run[1] + self.idle + 1 <= due:
-                yield self.close_run(key[0], tuple(run))
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        runs, timer, number = self.load()
+        ended = [run for run in runs if run[1] + self.idle + 1 <= due]
+        waiting = [self.waiting(run) for run in ended]
+        # The timers up to this time are used up; one for a later time may be set.
+        self.save([run for run in runs if run[1] + self.idle + 1 > due], None if timer is None or timer <= due else timer, number)
+        if ended:
+            first, last, requests, pages, refused = ([run[i] for run in ended] for i in range(5))
+            state = [run_state(*run[:5], n) for run, n in zip(ended, waiting, strict=True)]
+            yield pd.DataFrame({"site": key[0], "first_us": [t * 1000 for t in first], "last_us": [t * 1000 for t in last],
+                                "requests": requests, "waiting": waiting, "state": state})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from crawlframe.session import work_path
 from crawlframe.streaming import sites
 
@@ -46,3 +48,84 @@ def test_stream_equals_batch_over_shuffled_late_input(spark):
     want = sorted(tuple(r) for r in sites.site_runs_batch(spark.createDataFrame(events, SCHEMA), idle_s=1500).collect())
     assert got == want
     assert {r[-1] for r in want} >= {"completed", "stalled"} and len(want) > 10
+
+
+class Kept:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values = 0, {}
+        self.timers = set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "get":
+                return self.values.get(None)
+            if name == "update":
+                self.values[None] = args[0]
+            elif name == "clear":
+                self.values.clear()
+            elif name == "getValue":
+                return self.values[args[0]]
+            elif name == "updateValue":
+                self.values[args[0]] = args[1]
+            elif name == "removeKey":
+                del self.values[args[0]]
+            elif name == "iterator":
+                return iter(self.values.items())
+            elif name == "listTimers":
+                return iter(sorted(self.timers))
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.discard(args[0])
+            elif name in ("getMapState", "getValueState"):
+                state = Kept()
+                self.values[args[0]] = state
+                return state
+
+        return call
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_state_is_not_read_and_written_for_each_row():
+    rng = random.Random(5)
+    n, handle, runs = 3000, Kept(), sites.SiteRuns(1000)
+    runs.init(handle)
+    rows = [(rng.randrange(600_000), f"u{rng.randrange(900)}", f"u{rng.randrange(900)}" if rng.random() < 0.3 else None) for _ in range(n)]
+    want, last = [], None
+    for ms, uri, target in sorted(rows, key=lambda r: r[0]):
+        if last is None or ms > last + 1000:
+            want.append([ms, ms, 0, {}, {}])
+        last = ms
+        run = want[-1]
+        run[1], run[2] = ms, run[2] + 1
+        run[4][uri] = ms
+        if target:
+            run[3][target] = ms
+    want = sorted((a * 1000, b * 1000, k, sum(got.get(u, -1) < ms for u, ms in asked.items())) for a, b, k, asked, got in want)
+    frame = pd.DataFrame({"ms": [r[0] for r in rows], "uri": [r[1] for r in rows], "page": True, "refused": False,
+                          "target": pd.Series([r[2] for r in rows], dtype=object)})
+    for half in (frame[: n // 2], frame[n // 2 :]):
+        assert list(runs.handleInputRows(("s",), iter([half[:500], half[500:]]), At(0))) == []
+    calls = handle.calls + sum(s.calls for s in handle.values.values())
+    assert calls < n / 10
+    got, timers = [], sorted(handle.timers)
+    while timers:  # a run ends at its own time, with one timer set at once
+        handle.timers.discard(timers[0])
+        for out in runs.handleExpiredTimer(("s",), At(timers[0]), At(timers[0])):
+            got += [tuple(r)[1:5] for r in out.itertuples(index=False)]
+        timers = sorted(handle.timers)
+    assert sorted(got) == want and max(r[2] for r in want) > 300 and len(want) > 10
+    assert not any(s.values for s in handle.values.values())
