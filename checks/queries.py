@@ -645,8 +645,8 @@ def write_html_archive_(spark, sf):
 
 
 def page_stream(spark, sf):
-    reader = spark.readStream.schema(readers.PAGES_SCHEMA).option("pathGlobFilter", "pages.parquet")
-    return reader.parquet(sf)
+    # A pattern, since a stream takes no path of a single file; it meets a file and a folder of part files.
+    return spark.readStream.schema(readers.PAGES_SCHEMA).parquet(f"{sf}/[p]ages.parquet")
 
 
 def log_stream(spark, sf):

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from crawlframe.operators import fetchlog
 from crawlframe.session import work_path
 from crawlframe.sources import readers
@@ -78,3 +79,20 @@ def test_route_repeats_nothing(spark):
     assert readers.read_uri_log(spark, uris).count() == 20
     kept = readers.read_html_archive(spark, html)
     assert rows(kept) == sorted((f"http://s/{i}", f"<p>\nhttp://s/{i}") for i in range(1, 10, 2))
+
+
+def test_pages_in_one_file_and_in_a_folder_of_parts(spark, tmp_path):
+    """Larger tables are folders of part files: streams read them as they read a single file."""
+    link = '<html lang="{}"><a href="/l{}">x</a></html>'
+    made = [(i, f"https://h{i % 3}.example/p{i}", link.format("en" if i % 2 else "de", i)) for i in range(12)]
+    pages = spark.createDataFrame(made, readers.PAGES_SCHEMA)
+    pages.repartition(3).write.parquet(str(tmp_path / "parts" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next((tmp_path / "one").glob("part-*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "pages.parquet").write_bytes(part.read_bytes())
+    # Other tables and part files beside it are not read.
+    pages.write.parquet(str(tmp_path / "parts" / "pages.parquet.old"))
+    for name, count in (("stream_route", 18), ("stream_frontier", 12)):
+        found = [rows(QUERIES[name](spark, str(tmp_path / kind))) for kind in ("file", "parts")]
+        assert found[0] == found[1] and len(found[0]) == count
