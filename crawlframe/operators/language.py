@@ -7,12 +7,15 @@ the order in which partitions are added up.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from crawlframe.session import stored
 
@@ -63,6 +66,10 @@ def script_filter(
 
 # Stands after the end of a text, so that every character starts a window of three.
 _END = "\uffff"
+# Stands for it in codes of windows, above all code points.
+_PAST = (1 << 21) - 1
+#: Characters worked on at once; different windows a task counts before it puts them out; largest table of steps.
+CHUNK, HELD, DENSE = 1 << 18, 4_000_000, 1 << 22
 
 
 def gram_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -85,13 +92,89 @@ def gram_counts(docs: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     return counted.select(*keys, F.explode(listed).alias("gram"), "_n").groupBy(*keys, "gram").agg(F.sum("_n").alias("n"))
 
 
+def joined_windows(texts: list[str]) -> np.ndarray:
+    """Code (21 bits a character) of the three characters at each place, with ``_PAST`` past a text's end."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    points = _code_points("".join(texts))
+    last = np.cumsum(lengths[lengths > 0]) - 1
+    second = np.append(points[1:], _PAST)
+    second[last] = _PAST
+    third = np.append(second[1:], _PAST)
+    third[last] = _PAST
+    return points | second << 21 | third << 42
+
+
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and the sum of the counts of each."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def grams_of(codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Grams of one to three characters that the windows start with, and how often each occurs."""
+    for size in (1, 2, 3):
+        last = codes >> 21 * (size - 1) & _PAST
+        inside = (last != _PAST) & (last != ord(_END))
+        found, n = summed(codes[inside] & (1 << 21 * size) - 1, counts[inside])
+        points = np.stack([found >> 21 * i & _PAST for i in range(size)], axis=1).astype("<u4")
+        text = points.tobytes().decode("utf-32-le", "surrogatepass")
+        yield [text[i : i + size] for i in range(0, len(text), size)], n
+
+
+def lang_grams(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n) of (lang, text as bytes): ``gram_counts`` by language, with windows counted as numbers in each task."""
+
+    kind = labelled.schema["lang"].dataType
+    arrow = to_arrow_type(kind)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(lang: str, texts: list[str]) -> None:
+            have = held.setdefault(lang, [])
+            have.append(np.unique(joined_windows(texts), return_counts=True))
+            # The first is the sum so far: it grows by as much as it holds before it is summed again.
+            if sum(len(codes) for codes, _ in have[1:]) > max(len(have[0][0]), CHUNK):
+                held[lang] = [summed(*map(np.concatenate, zip(*have, strict=True)))]
+
+        def put_out() -> Iterator[pa.RecordBatch]:
+            for lang, have in held.items():
+                for grams, n in grams_of(*summed(*map(np.concatenate, zip(*have, strict=True)))):
+                    columns = [pa.array([lang] * len(grams), arrow), pa.array(grams, pa.string()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
+            held.clear()
+
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            sizes: dict[str, int] = {}
+            for lang, text in zip(*batch.columns, strict=True):
+                if not (body := (text.as_py() or b"").decode("utf-8", "replace")):
+                    continue
+                lang = lang.as_py()
+                texts.setdefault(lang, []).append(body)
+                sizes[lang] = sizes.get(lang, 0) + len(body)
+                if sizes[lang] >= CHUNK:
+                    add(lang, texts.pop(lang))
+                    sizes[lang] = 0
+            for lang, rest in texts.items():
+                add(lang, rest)
+            if sum(len(codes) for have in held.values() for codes, _ in have) > HELD:
+                yield from put_out()
+        yield from put_out()
+
+    counted = labelled.mapInArrow(count, T.StructType().add("lang", kind).add("gram", T.StringType()).add("n", T.LongType()))
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def train_lang_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, gram, weight): log share of each gram among its language's grams of equal length.
 
     Counting is partial before the shuffle, so what travels is the alphabet, not the text.
     """
-    labelled = docs.select(F.col(lang).alias("lang"), text).filter("lang IS NOT NULL")
-    counts = gram_counts(labelled, ["lang"], text).withColumn("_size", F.length("gram"))
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text")).filter("lang IS NOT NULL")
+    counts = lang_grams(labelled).withColumn("_size", F.length("gram"))
     totals = counts.groupBy("lang", "_size").agg(F.sum("n").alias("_total"))
     weight = F.round(F.ln(F.col("n") / F.col("_total")) * SCALE).cast("bigint")
     return counts.join(totals, ["lang", "_size"]).select("lang", "gram", weight.alias("weight"))
@@ -110,39 +193,85 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
-def score_table(wide: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per gram size: sorted gram codes (21 bits a character) and their weights."""
-    codes = wide["gram"].map(lambda gram: int(sum(ord(c) << 21 * i for i, c in enumerate(gram))))
-    order = np.argsort(codes.to_numpy(dtype=np.int64), kind="stable")
-    sizes = wide["gram"].str.len().to_numpy()[order]
-    keys = codes.to_numpy(dtype=np.int64)[order]
-    weights = wide.drop(columns="gram").to_numpy(dtype=np.float64)[order]
-    return [(keys[sizes == n], weights[sizes == n]) for n in (1, 2, 3)]
-
-
-def score_texts(texts: Sequence[str], table: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int] | None]:
+class Step(NamedTuple):
+    """The node that a node and a next character lead to: a table of all pairs, or the known ones in order."""
+
+    width: int
+    keys: np.ndarray | None
+    nodes: np.ndarray
+
+    def take(self, node: np.ndarray, character: np.ndarray) -> np.ndarray:
+        asked = node * self.width + character
+        if self.keys is None:
+            return self.nodes[asked]
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[at] == asked, self.nodes[at], 0)
+
+
+class Scores(NamedTuple):
+    """Grams as a tree of characters. ``sums``: a node's weights and number of grams, those of its prefixes included."""
+
+    characters: np.ndarray
+    steps: list[Step]
+    sums: np.ndarray
+
+
+def score_table(wide: pd.DataFrame) -> Scores:
+    """The tree of the grams, with a column of weights per language and one for the number of grams."""
+    wide = wide[wide["gram"].str.len().between(1, 3)]
+    grams = wide["gram"].tolist()
+    sizes = wide["gram"].str.len().to_numpy(dtype=np.int64)
+    points = np.zeros((len(grams), 3), dtype=np.int64)
+    points[np.arange(3) < sizes[:, None]] = _code_points("".join(grams))
+    alphabet = np.unique(points[np.arange(3) < sizes[:, None]])
+    characters = np.zeros(0x110000, dtype=np.int64)
+    characters[alphabet] = np.arange(1, len(alphabet) + 1)
+    letters, width = characters[points], len(alphabet) + 1
+    # Node 0 is no gram, the next are the single characters.
+    nodes, parents, steps = letters[:, 0], [np.zeros(width, dtype=np.int64)], []
+    for level in (1, 2):
+        deeper = sizes > level
+        asked, inverse = np.unique(nodes[deeper] * width + letters[deeper, level], return_inverse=True)
+        made = sum(map(len, parents)) + np.arange(len(asked))
+        parents.append(asked // width)
+        nodes = nodes.copy()
+        nodes[deeper] = made[inverse]
+        if (size := sum(map(len, parents)) * width) <= DENSE:
+            full = np.zeros(size, dtype=np.int64)
+            full[asked] = made
+            steps.append(Step(width, None, full))
+        else:
+            steps.append(Step(width, np.append(-1, asked), np.append(0, made)))
+    parent = np.concatenate(parents)
+    weights = wide.drop(columns="gram").to_numpy(dtype=np.int64)
+    sums = np.zeros((len(parent), weights.shape[1] + 1), dtype=np.int64)
+    np.add.at(sums, nodes, np.column_stack([weights, np.ones(len(weights), dtype=np.int64)]))
+    # A node's parent is of the level before it, whose sums are complete then.
+    begin = width
+    for level in parents[1:]:
+        sums[begin : begin + len(level)] += sums[level]
+        begin += len(level)
+    return Scores(characters, steps, sums)
+
+
+def score_texts(texts: Sequence[str], table: Scores) -> list[list[int] | None]:
     """Summed weights of the grams of each text, None where no gram is known."""
-    points = _code_points("".join(texts))
-    lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
-    totals = np.zeros((len(texts), table[0][1].shape[1]))
-    known = np.zeros(len(texts))
-    codes = np.zeros(len(points), dtype=np.int64)
-    for size, (keys, weights) in enumerate(table, 1):
-        codes = codes[: len(points) - size + 1] + (points[size - 1 :] << 21 * (size - 1))
-        inside = left[: len(codes)] >= size
-        asked, whose = codes[inside], owner[: len(codes)][inside]
-        if not len(keys) or not len(asked):
-            continue
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        hit = keys[at] == asked
-        at, whose = at[hit], whose[hit]
-        known += np.bincount(whose, minlength=len(texts))
-        for column in range(totals.shape[1]):
-            # Whole numbers below 2**53: floating sums are exact.
-            totals[:, column] += np.bincount(whose, weights=weights[at, column], minlength=len(texts))
-    return [row.astype(np.int64).tolist() if n else None for row, n in zip(totals, known)]
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    if not lengths.sum():
+        return [None] * len(texts)
+    first = table.characters[_code_points("".join(texts))]
+    last = np.cumsum(lengths[lengths > 0]) - 1
+    second = np.append(first[1:], 0)
+    second[last] = 0
+    third = np.append(second[1:], 0)
+    third[last] = 0
+    # The longest known gram at each place stands for those that it starts with.
+    two = np.where(second > 0, table.steps[0].take(first, second), 0)
+    three = np.where((two > 0) & (third > 0), table.steps[1].take(two, third), 0)
+    node = np.where(three > 0, three, np.where(two > 0, two, first))
+    totals = np.zeros((len(texts), table.sums.shape[1]), dtype=np.int64)
+    totals[lengths > 0] = np.add.reduceat(table.sums[node], np.append(0, last[:-1] + 1), axis=0)
+    return [row[:-1] if row[-1] else None for row in totals.tolist()]
 
 
 def _scorer(table):
@@ -154,7 +283,7 @@ def _scorer(table):
             found, begin, size = [], 0, 0
             for end, text in enumerate(texts, 1):
                 size += len(text)
-                if size >= 1_000_000 or end == len(texts):
+                if size >= CHUNK or end == len(texts):
                     found += score_texts(texts[begin:end], table.value)
                     begin, size = end, 0
             yield pd.Series(found, dtype=object)

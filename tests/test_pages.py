@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -152,3 +153,29 @@ def test_grams_match_brute_force(spark, sf_dir):
     )
     got = {(r.doc_id, r.gram): r.n for r in language.gram_counts(docs_, ["doc_id"]).collect()}
     assert got == want
+
+
+def test_profiles_and_scores_by_numbers(spark, monkeypatch):
+    """Training lists no row per character; its counts are those of ``gram_counts``, scores those of a plain sum."""
+    rng = random.Random(3)
+    letters = "ab cé\u0000\U0001f600z日￿"
+    made = [(i, rng.choice(["en", "de", None]), rng.choice([None, "", "".join(rng.choices(letters, k=rng.randrange(1, 400)))])) for i in range(300)]
+    docs_ = spark.createDataFrame(made, "doc_id bigint, lang string, text string")
+    labelled = docs_.where("lang IS NOT NULL")
+    bytes_ = labelled.select("lang", F.col("text").cast("binary").alias("text"))
+    plain = sorted(tuple(r) for r in language.gram_counts(labelled, ["lang"]).select("lang", "gram", "n").collect())
+    monkeypatch.setattr(language, "CHUNK", 50)
+    monkeypatch.setattr(language, "HELD", 60)
+    assert sorted(tuple(r) for r in language.lang_grams(bytes_).collect()) == plain and len(plain) > 500
+    profiles = language.train_lang_profiles(docs_)
+    assert "Generate" not in profiles._jdf.queryExecution().optimizedPlan().toString()
+    wide = language.wide_profiles(profiles, ["de", "en"]).toPandas().sample(frac=0.5, random_state=1)
+    known = {r.gram: (r.w_de, r.w_en) for r in wide.itertuples(index=False)}
+    texts = [t or "" for _, _, t in made[:60]] + ["qqq", "q", "aq", "qa", "é"]
+    want = []
+    for t in texts:
+        found = [known[g] for k in (1, 2, 3) for i in range(len(t) - k + 1) if (g := t[i : i + k]) in known]
+        want.append([sum(w) for w in zip(*found)] if found else None)
+    for size in (1 << 22, 0):  # tables of all steps, steps in order
+        monkeypatch.setattr(language, "DENSE", size)
+        assert language.score_texts(texts, language.score_table(wide)) == want
