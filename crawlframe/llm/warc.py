@@ -2,8 +2,8 @@
 
 Pages become WARC 1.1 records: of equal payloads the one of the largest id is a ``response``, the others are
 ``revisit`` records that refer to it and hold its HTTP header, with the length of the full payload, but no body.
-Spark's text writer makes the gzip files (a record and its payload are UTF-8 text), rebalanced
-to the advised partition size. Reading back walks each file by ``Content-Length``, so payloads may hold anything.
+Spark's text writer makes the gzip files (a record and its payload are UTF-8 text), one of each partition
+of the join that finds a payload's response, so payloads move once. Reading back walks each file by ``Content-Length``, so payloads may hold anything.
 
 Each file's index entries are a run, sorted where the file is read. The runs are cut by ranges of
 (URL key, time, id), and each range is merged from its slices of all runs by a loser tree: one
@@ -84,13 +84,14 @@ def record(page_id: int | None, url: str | None, html: str, response_id: int | N
     return LINE.join(head) + http + (html if is_response else "") + LINE
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Gzip WARC files below ``path``; equal payloads of ``least_bytes`` or more are stored once."""
+def archive_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(value): the records; of equal payloads of ``least_bytes`` or more one is a response."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("_sum", F.sha2("html", 256))
     largest = rows.groupBy("_sum").agg(F.max("page_id").alias("_response"))
     # One row per payload on the right: Spark may split a payload of very many pages on the left.
-    joined = rows.join(largest, "_sum").select("page_id", "url", "html", "_response")
+    # A merge join deals pages out by payload, which spreads a table of few files, too; no second shuffle follows.
+    joined = rows.join(largest.hint("merge"), "_sum").select("page_id", "url", "html", "_response")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -99,8 +100,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             out.append(record(page_id, url, html, response, alone))
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    records = map_batches(joined.hint("rebalance"), work, "value string")
-    records.write.option("lineSep", LINE).option("compression", "gzip").text(path)
+    return map_batches(joined, work, "value string")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+    """Gzip WARC files below ``path``; equal payloads of ``least_bytes`` or more are stored once."""
+    archive_records(pages, least_bytes).write.option("lineSep", LINE).option("compression", "gzip").text(path)
 
 
 def records(packed: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:

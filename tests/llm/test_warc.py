@@ -48,3 +48,11 @@ def test_query_and_order(spark, sf_dir):
     assert got == want(rows)
     keys = [(r.url_key, r.captured, r.page_id) for r in out]
     assert keys == sorted(keys)
+
+
+def test_payloads_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(i, f"https://h/{i}", "x" * (i % 3)) for i in range(30)], "page_id bigint, url string, html string")
+    made = warc.archive_records(rows)
+    assert made.count() == 30
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" not in plan and "BroadcastHashJoin" not in plan
