@@ -237,7 +237,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col)
     # Written once: pages would be parsed anew for the texts and for the ranks.
     schema = f"id {id_type}, url string, lines array<string>, kinds array<tinyint>, `keys` array<bigint>, mark bigint"
-    parsed = stored(map_batches(slim, parse, schema), "lines")
+    parsed = stored(map_batches(slim, parse, schema), "lines", "zstd")
     url = F.coalesce("url", F.lit(""))
     parsed = parsed.withColumns({
         "host": F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)),
@@ -245,7 +245,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
     })
     # Copies on a host are one row, so that neighbours always differ; ranked by path within their host.
     compared = parsed.where(F.size("keys") > 0)
-    folded = stored(compared.groupBy("host", "mark").agg(F.min("path").alias("path"), F.first("keys").alias("keys")), "lists")
+    folded = stored(compared.groupBy("host", "mark").agg(F.min("path").alias("path"), F.first("keys").alias("keys")), "lists", "zstd")
     splits = [F.substring("path", 1, 6), F.col("path"), F.shiftright("mark", 48)]
     ranked = split_rank(folded, ["host"], ["path", "mark"], splits, name="at")
     sent = F.explode(F.array(*[F.lit(i) for i in SIDES])).alias("side")
@@ -263,10 +263,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
             shared.append([i in gone for i in range(len(own))])
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.list_(pa.bool_()))], names=["host", "mark", "shared"])
 
-    shared = map_batches(paired, difference, "host string, mark bigint, shared array<boolean>")
+    # Written, since Spark would leave the comparison out of a table in which it decides on no line.
+    shared = stored(map_batches(paired, difference, "host string, mark bigint, shared array<boolean>"), "shared", "zstd")
     stays = lambda line, i: (F.get("kinds", i) == KEPT) | (F.get("kinds", i) == COMPARED) & ~F.coalesce(F.get("shared", i), F.lit(False))
-    whole = parsed.join(shared, ["host", "mark"], "left").select("id", "url", "lines", F.filter("lines", stays).alias("left"))
-    return whole.select(
+    # Every page is compared, but only texts with a line that the comparison decides on are sent to its outcome.
+    undecided = F.exists("kinds", lambda kind: kind == COMPARED)
+    joined = parsed.where(undecided).join(shared, ["host", "mark"], "left").select("id", "url", "lines", F.filter("lines", stays).alias("left"))
+    decided = parsed.where(~undecided).select("id", "url", "lines", F.filter("lines", lambda line, i: F.get("kinds", i) == KEPT).alias("left"))
+    return joined.union(decided).select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("left", "\n").alias("text"),
         (F.size("lines") - F.size("left")).cast("bigint").alias("n_lines_deleted"),
     )

@@ -94,3 +94,22 @@ def test_query(spark, sf_dir):
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", lambda t: " " if "br" in t[0] else "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         want = "\n".join(b for b in blocks if b)
         assert out[r.page_id] == (r.url, want, len(want))
+
+
+def test_only_undecided_texts_are_sent(spark):
+    """Pages whose lines all lie in an article or go for themselves are compared, but their texts are not shuffled."""
+    shared = "<p>the very same line of each page</p>"
+    made = [(i, f"https://h/{i}", f"{shared}<article><p>own text {i} here</p></article>" if i % 2 else f"<p>plain page {i} says</p>{shared}") for i in range(10)]
+    made += [(20 + i, f"https://a/{i}", f"<nav>x</nav><article><p>same</p><p>text {i}</p></article>") for i in range(4)]
+    rows = spark.createDataFrame(made, "page_id bigint, url string, html string")
+    got = m.extract(rows)
+    want = {i: f"own text {i} here" if i % 2 else f"plain page {i} says" for i in range(10)} | {20 + i: f"same\ntext {i}" for i in range(4)}
+    assert {r.page_id: r.text for r in got.collect()} == want
+    assert {r.page_id: r.n_lines_deleted for r in got.collect()} == {i: int(i < 20) for i in want}
+    # One side of the union reads the lines and joins nothing.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Union" in line)
+    sides = [i for i in range(at + 1, len(lines)) if depth(lines[i]) == depth(lines[at]) + 3]
+    assert len(sides) == 2 and not any("Join" in line for line in lines[sides[1] :])
