@@ -232,12 +232,14 @@ def score_table(wide: pd.DataFrame) -> Scores:
     for level in (1, 2):
         deeper = sizes > level
         asked, inverse = np.unique(nodes[deeper] * width + letters[deeper, level], return_inverse=True)
-        made = sum(map(len, parents)) + np.arange(len(asked))
+        before = sum(map(len, parents))
+        made = before + np.arange(len(asked))
         parents.append(asked // width)
         nodes = nodes.copy()
         nodes[deeper] = made[inverse]
-        if (size := sum(map(len, parents)) * width) <= DENSE:
-            full = np.zeros(size, dtype=np.int64)
+        # Steps lead on from the nodes so far only.
+        if before * width <= DENSE:
+            full = np.zeros(before * width, dtype=np.int64)
             full[asked] = made
             steps.append(Step(width, None, full))
         else:
