@@ -10,7 +10,8 @@ the pieces follow each other without gaps, ``n + 1`` source offsets give all spa
 
 No piece of a model holds a meta symbol behind another symbol (this is checked; else the
 text is one unit), so no merge crosses such a place: units are encoded apart and those seen lately are
-kept. Units of any length are merged with a heap. The map is applied to the whole text.
+kept. The others of many texts are merged side by side in arrays, one pair of each unit a round; long
+ones with a heap. The map is applied to the whole text.
 
 Nulls and repeats: a null or empty text has no pieces; repeated rows get equal results;
 other columns are passed through, those named like an output column are replaced; an empty table
@@ -23,10 +24,9 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ UNKNOWN, CONTROL, USER, UNUSED, BYTE = 2, 3, 4, 5, 6
 KEPT, KEPT_LENGTH = 150_000, 64
 #: Units of more code points are merged with a heap.
 HEAP_FROM = 100
+#: Short units merged together, and code points of the texts they are gathered from.
+TOGETHER, AT_ONCE = 4096, 1 << 20
 #: The rank of pairs that do not merge.
-NONE = 1 << 40
+NONE = (1 << 31) - 1
 
 
 def fields(body: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -101,6 +103,37 @@ class CharMap:
         return found[0], self.texts[found[1] : self.texts.index(0, found[1])]
 
 
+class Pairs:
+    """Pairs of neighbouring symbols that merge, as numbers; symbol 0 is any code point that no piece holds."""
+
+    def __init__(self, ranks: dict[str, int], ids: dict[str, int], unknown: int):
+        names = dict.fromkeys([c for piece in ranks for c in piece])
+        names |= dict.fromkeys([piece for piece in ids if len(piece) == 1])
+        names |= dict.fromkeys(ranks)
+        numbers = {name: n for n, name in enumerate(names, 1)}
+        self.count = len(numbers) + 1
+        self.ids = np.array([unknown, *[ids.get(name, unknown) for name in names]], np.int32)
+        self.rank = np.array([NONE, *[ranks.get(name, NONE) for name in names]], np.int32)
+        self.symbol = np.zeros(0x110000, np.int32)
+        for name, n in numbers.items():
+            if len(name) == 1:
+                self.symbol[ord(name)] = n
+        known = numbers.get
+        cuts = [(known(p[:i], 0), known(p[i:], 0), numbers[p]) for p in ranks for i in range(1, len(p))]
+        left, right, both = np.array(cuts, np.int64).reshape(-1, 3).T
+        keys, both = (left * self.count + right)[use := (left > 0) & (right > 0)], both[use]
+        order = np.argsort(keys)
+        # A last key that no pair reaches, so that each search ends at a key.
+        self.keys = np.append(keys[order], self.count**2)
+        self.both = np.append(both[order], 0).astype(np.int32)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol of each pair, 0 where it does not merge."""
+        keys = left.astype(np.int64) * self.count + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.both[at], 0)
+
+
 class Model:
     def __init__(self, body: bytes):
         self.pieces: list[str] = []
@@ -130,10 +163,11 @@ class Model:
         self.prefix, self.squeeze, self.escape = (bool(spec.get(n, 1)) for n in (3, 4, 5))
         order = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.rank = {text: order[score] for text, score in scores.items()}
+        self.pairs = Pairs(self.rank, self.ids, self.unknown)
         joined = any(re.search(f"[^{META}]{META}", p) for p in self.rank)
         self.unit = re.compile("(?s).+" if joined else f"{META}*[^{META}]+|{META}+")
-        self.seen: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # What a piece is in a text by itself, and whether it is not always that.
         self.plain = [p.replace(META, " ") if k != BYTE else chr(int(p[3:5], 16)) for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.tied = np.array([k in (CONTROL, UNKNOWN) or k == BYTE and t > "\x7f" for t, k in zip(self.plain, self.kinds, strict=True)])
@@ -168,24 +202,8 @@ class Model:
 
     # Encoding
 
-    def unit_pieces(self, unit: str) -> list[str]:
-        """The symbols of one unit after all merges: best rank first, leftmost among equals."""
-        if len(unit) > HEAP_FROM:
-            return self.long_pieces(unit)
-        rank, text = self.rank.get, list(unit)
-        ranks = [rank(unit[i : i + 2], NONE) for i in range(len(unit) - 1)]
-        while ranks and (best := min(ranks)) < NONE:
-            i = ranks.index(best)
-            text[i] += text.pop(i + 1)
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(text[i] + text[i + 1], NONE)
-            if i:
-                ranks[i - 1] = rank(text[i - 1] + text[i], NONE)
-        return text
-
     def long_pieces(self, unit: str) -> list[str]:
-        """As ``unit_pieces``, with a heap: for long units."""
+        """The symbols of one unit after all merges, best rank first, leftmost among equals: with a heap, for long units."""
         text: list[str] = list(unit)
         n = len(text)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -210,53 +228,122 @@ class Model:
             offer(a, right[a])
         return [t for t in text if t]
 
-    def encode_unit(self, unit: str) -> tuple[bytes, bytes]:
-        """(ids, code points of the unit up to the end of each piece), as 32-bit numbers."""
-        pieces, unknown = self.unit_pieces(unit), self.unknown
-        ids = [self.ids.get(p, unknown) for p in pieces]
-        if unknown not in ids or self.bytes is None:
-            return array("i", ids).tobytes(), array("i", accumulate(map(len, pieces))).tobytes()
-        ids, ends, at = [], [], 0
+    def numbered(self, pieces: list[str]) -> bytes:
+        """For each id of a unit the id and the code points of the unit up to its end, as 32-bit numbers."""
+        out, at = array("i"), 0
         for piece in pieces:
             at += len(piece)
             found = self.ids.get(piece, self.unknown)
             if found != self.unknown or self.bytes is None:
-                ids.append(found)
-                ends.append(at)
+                out.append(found)
+                out.append(at)
             else:
-                some = [self.bytes[b] for b in piece.encode()]
-                ids += some
-                ends += [at - len(piece)] * (len(some) - 1) + [at]
-        return np.array(ids, np.int32).tobytes(), np.array(ends, np.int32).tobytes()
-
-    def encode_missing(self, units: list[str], found: list[tuple[bytes, bytes] | None]) -> None:
+                *some, last = piece.encode()
+                for b in some:
+                    out.append(self.bytes[b])
+                    out.append(at - len(piece))
+                out.append(self.bytes[last])
+                out.append(at)
+        return out.tobytes()
+
+    def merged(self, units: list[str]) -> list[bytes]:
+        """As ``numbered``, of short units side by side: a round merges the best pair of each, leftmost among equals."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        n, width = len(units), int(sizes.max()) + 1  # the last column stays empty, and is that before the first
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.zeros((n, width), np.int32)
+        symbols[inside] = self.pairs.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        both = np.zeros((n, width), np.int32)
+        both[:, :-1] = self.pairs.joined(symbols[:, :-1], symbols[:, 1:])
+        ranks = self.pairs.rank[both]
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), (n, 1))
+        gone = np.zeros((n, width), bool)
+        symbol, pair, rank, right, left, lost = (x.reshape(-1) for x in (symbols, both, ranks, after, before, gone))
+        rows = np.flatnonzero((ranks < NONE).any(axis=1))
+        while len(rows):
+            base = rows * width
+            best = base + ranks[rows].argmin(axis=1)
+            on = rank[best] < NONE
+            rows, base, best = rows[on], base[on], best[on]
+            second = base + right[best]
+            third = base + right[second]
+            symbol[best] = pair[best]
+            lost[second], rank[second] = True, NONE
+            right[best] = third - base
+            left[third] = best - base
+            first = base + left[best]
+            for a, b in ((best, third), (first, best)):
+                pair[a] = self.pairs.joined(symbol[a], symbol[b])
+                rank[a] = self.pairs.rank[pair[a]]
+        stay = inside & ~gone
+        ids, ends, counts = self.pairs.ids[symbols[stay]], after[stay], stay.sum(axis=1)
+        cuts = np.concatenate([[0], 8 * np.cumsum(counts)]).tolist()
+        body = np.stack([ids, ends], axis=1).tobytes()
+        out = [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for i in np.unique(np.repeat(np.arange(n), counts)[ids == self.unknown]).tolist():
+            stops = [0, *np.frombuffer(out[i], np.int32)[1::2].tolist()]
+            out[i] = self.numbered([units[i][a:b] for a, b in zip(stops, stops[1:], strict=False)])
+        return out
+
+    def encode_units(self, units: list[str]) -> dict[str, bytes]:
+        """What each unit becomes; of like lengths together, so that little of a round is empty."""
+        out = {}
+        units = sorted(units, key=len)
+        while units and len(units[-1]) > HEAP_FROM:
+            unit = units.pop()
+            out[unit] = self.numbered(self.long_pieces(unit))
+        for s in range(0, len(units), TOGETHER):
+            some = units[s : s + TOGETHER]
+            out.update(zip(some, self.merged(some), strict=True))
+        return out
+
+    def fill(self, units: list[list[str]], found: list[list[bytes | None]]) -> None:
         """Fill the gaps of ``found``; units move on to the newer of two generations when met."""
-        for i, known in enumerate(found):
-            if known is None:
-                unit = units[i]
-                found[i] = known = self.seen.get(unit) or self.older.get(unit) or self.encode_unit(unit)
-                if len(unit) <= KEPT_LENGTH:
-                    if len(self.seen) >= KEPT:
-                        self.older, self.seen = self.seen, {}
-                    self.seen[unit] = known
+        gaps = dict.fromkeys(chain.from_iterable([u for u, p in zip(some, parts, strict=True) if p is None] for some, parts in zip(units, found, strict=True)))
+        older = self.older
+        gaps = {u: older.get(u) for u in gaps}
+        gaps |= self.encode_units([u for u, known in gaps.items() if known is None])
+        for some, parts in zip(units, found, strict=True):
+            parts[:] = [p or gaps[u] for u, p in zip(some, parts, strict=True)]
+        for unit, known in gaps.items():
+            if len(unit) <= KEPT_LENGTH:
+                if len(self.seen) >= KEPT:
+                    self.older, self.seen = self.seen, {}
+                self.seen[unit] = known
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, source byte offsets): piece i covers bytes offsets[i] to offsets[i + 1].
 
         Of a symbol written as bytes, the last piece covers the whole symbol.
         """
-        normal, places = self.normalise(text)
-        units = self.unit.findall(normal)
-        if not units:
-            return np.zeros(0, np.int32), np.zeros(1, np.int32)
-        parts = list(map(self.seen.get, units))
-        if None in parts:
-            self.encode_missing(units, parts)
-        ids, ends = map(b"".join, zip(*parts, strict=True))
-        counts = np.fromiter(map(len, map(itemgetter(0), parts)), np.int64, len(parts)) >> 2
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.frombuffer(ends, np.int32) + np.repeat(np.cumsum(sizes) - sizes, counts)
-        return np.frombuffer(ids, np.int32), np.concatenate([places[:1], places[ends]])
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of each text; units not met before are merged for many texts at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self.encode_some(held)
+                held, size = [], 0
+        yield from self.encode_some(held)
+
+    def encode_some(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        normal = [self.normalise(t) for t in texts]
+        units = [self.unit.findall(t) for t, _ in normal]
+        found = [list(map(self.seen.get, some)) for some in units]
+        self.fill(units, found)
+        for (_, places), some, parts in zip(normal, units, found, strict=True):
+            if not some:
+                yield np.zeros(0, np.int32), np.zeros(1, np.int32)
+                continue
+            counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
+            ids, ends = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).T
+            sizes = ends[np.cumsum(counts) - 1]  # a unit's last id ends where the unit does
+            ends = ends + np.repeat(np.cumsum(sizes) - sizes, counts)
+            yield ids.copy(), np.concatenate([places[:1], places[ends]])
 
     # Decoding
 
@@ -339,7 +426,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", decoded: bo
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = loaded(shared.value)
-        parts = [model.encode(t.as_py() or "") for t in batch.column(at)]
+        parts = list(model.encode_all(t.as_py() or "" for t in batch.column(at)))
         made = [
             list_of(np.concatenate([p[k] for p in parts]), np.array([len(p[k]) for p in parts]), pa.int32()) for k in (0, 1)
         ]
