@@ -17,6 +17,9 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as tiktoken ranks (checked on loading), for faster encoding.
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+#: Words of the least passage of over 50 words.
+PASSAGE_WORDS = 51
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,7 +78,7 @@ def op4_quality_rules(spark, sf_dir):
 
 @query()
 def op5_suffix_array_dedup(spark, sf_dir):
-    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
     kept = F.octet_length("kept").cast("bigint")
     size = kept + F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return rows.select(
@@ -86,6 +89,8 @@ def op5_suffix_array_dedup(spark, sf_dir):
         F.sha2("kept", 256).alias("kept_sha256"),
         # The text left, for readers of the text itself; bytes cut inside a character become U+FFFD.
         F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        # The same without passages of over 50 words that stand anywhere else, which may be shorter than 400 bytes.
+        F.make_valid_utf8(F.col("passage_free").cast("string")).alias("passage_free_text"),
     )
 
 
