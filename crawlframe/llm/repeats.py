@@ -262,7 +262,7 @@ def remove_repeats(
         )
 
     numbers = "_anchor bigint, _first bigint, _last bigint, _gram bigint, _run bigint, _times bigint, _places array<bigint>, _words boolean"
-    found = stored(map_batches(slim, find, f"_id {id_type}, _text_hash bigint, {numbers}"), "anchors")
+    found = stored(map_batches(slim, find, f"_id {id_type}, _text_hash bigint, {numbers}"), "anchors", compression="zstd")
 
     one = F.struct(*key, "_anchor", "_first", "_last", "_words")
     runs = found.groupBy("_gram", "_run").agg(F.sum("_times").alias("_n"), F.min(one).alias("_one"))
@@ -296,7 +296,7 @@ def remove_repeats(
         )
 
     cut_schema = f"_id {id_type}, _text_hash bigint, _gram bigint, _before bigint, _start bigint, _single boolean, _width bigint, _bytes binary, _words boolean"
-    pieces = stored(map_batches(with_bytes, cut, cut_schema), "runs")
+    pieces = stored(map_batches(with_bytes, cut, cut_schema), "runs", compression="zstd")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by gram; the last gram of what has come waits for the rest of it."""
