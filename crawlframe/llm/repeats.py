@@ -276,6 +276,8 @@ def remove_repeats(
 
     # One member of each different run, with its bytes.
     members = runs.join(shared, "_gram").select("_one.*", "_gram", "_n", "_width")
+    # They are written first: the anchors' shuffles make room before the texts are shuffled.
+    members = stored(members, "members", compression="zstd", release=True)
     wanted = members.groupBy(*key).agg(F.collect_list(F.struct("_gram", "_anchor", "_first", "_last", "_n", "_width", "_words")).alias("_want"))
     same_text = slim["_text_hash"].eqNullSafe(wanted["_text_hash"]) & slim["_id"].eqNullSafe(wanted["_id"])
     with_bytes = slim.join(wanted, same_text).select(wanted["_id"], wanted["_text_hash"], "_bytes", "_want")
@@ -296,7 +298,8 @@ def remove_repeats(
         )
 
     cut_schema = f"_id {id_type}, _text_hash bigint, _gram bigint, _before bigint, _start bigint, _single boolean, _width bigint, _bytes binary, _words boolean"
-    pieces = stored(map_batches(with_bytes, cut, cut_schema), "runs", compression="zstd")
+    pieces = stored(map_batches(with_bytes, cut, cut_schema), "runs", compression="zstd", release=True)
+    discard(members)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches sorted by gram; the last gram of what has come waits for the rest of it."""
@@ -361,7 +364,7 @@ def remove_repeats(
 
     gone = whole.union(part).union(wide).groupBy(*key).agg(F.collect_list(F.struct("a", "b", "_words")).alias("_spans"))
     # The tables of anchors and runs make room before the texts are shuffled for the last time.
-    gone = stored(gone, "spans")
+    gone = stored(gone, "spans", release=True)
     discard(found)
     discard(pieces)
     both = F.xxhash64(docs[id_col], docs[text_col]).eqNullSafe(gone["_text_hash"]) & docs[id_col].eqNullSafe(gone["_id"])

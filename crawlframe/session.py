@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,15 +68,32 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of queries run inside are deleted as their query ends, not when the driver next collects garbage.
+
+    For queries that run once: a second run of the same DataFrame has to shuffle again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and gives the planner the real size.
-    ``compression`` is the codec of the files, by default the session's.
+    ``compression`` is the codec of the files, by default the session's. With ``release`` the
+    shuffles of the write are deleted once it is done.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    with shuffles_released(spark) if release else nullcontext():
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
